@@ -1,0 +1,50 @@
+"""The queries of the ten problems, over whole tables, with production parameters."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grainfield.functions.sites import site_of
+from grainfield.llm import capping, rank_aggregation, repeated_lines
+from grainfield.operators.ranking import latest_by
+from grainfield.session import load, stored
+
+
+def latest_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Of each page id the row fetched last."""
+    return latest_by(load(spark, d, "pages"), "id", "crawled_at")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages to drop so that no site holds more than 2 % of all distinct pages."""
+    newest = F.max(F.struct(F.col("crawled_at").alias("t"), site_of(F.col("url")).alias("site"), capping.usable_quality(F.col("quality")).alias("quality"))).alias("r")
+    pages = load(spark, d, "pages").groupBy("id").agg(newest).select("id", "r.site", "r.quality")
+    return capping.cap_by_share(pages, "site", "quality", "id", 0.02).displaced().select("id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Of each query the page that stands first when its three scores count equally."""
+    newest = F.max(F.struct(F.col("crawled_at").alias("t"), "url", "pagerank", "quality")).alias("r")
+    pages = load(spark, d, "pages").groupBy("id").agg(newest).select(F.col("id").alias("page_id"), "r.url", "r.pagerank", F.when(F.col("r.quality") > 0, F.col("r.quality")).alias("quality"))
+    hits = load(spark, d, "search_results").select("query_id", "url", "semantic_score").join(pages, "url")
+    ranked = rank_aggregation.robust_rank_aggregation(hits, "query_id", "page_id", ["semantic_score", "pagerank", "quality"])
+    return rank_aggregation.first_of_each(ranked, "query_id", "page_id")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines.keyed_pages(latest_pages(spark, d), site_of(F.col("url")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that recur within their site."""
+    return repeated_lines.repeated_lines(_lines(spark, d))
+
+
+def p6_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of two to eight lines that recur within their site."""
+    return repeated_lines.recurring_blocks(_lines(spark, d), min_len=2, max_len=8).select("site", "block", "n_lines", "n_docs", "site_docs")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p6_found, p6_blocks)}
+ORACLES: dict[str, str] = {}
