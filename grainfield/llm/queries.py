@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfield.functions.sites import site_of
-from grainfield.llm import capping, rank_aggregation, repeated_lines
+from grainfield.llm import capping, encoding, near_duplicates, rank_aggregation, repeated_lines
 from grainfield.operators.ranking import latest_by
 from grainfield.session import load, stored
 
 
+#: Folder of the public vocabulary files; GRAINFIELD_TOKENIZERS names another.
+TOKENIZERS = os.environ.get("GRAINFIELD_TOKENIZERS", "/opt/tokenizers")
+
+
 def latest_pages(spark: SparkSession, d: str) -> DataFrame:
     """Of each page id the row fetched last."""
     return latest_by(load(spark, d, "pages"), "id", "crawled_at")
@@ -23,6 +29,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return capping.cap_by_share(pages, "site", "quality", "id", 0.02).displaced().select("id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of pages whose sets of three-word runs overlap by at least half of their union."""
+    return near_duplicates.near_duplicate_pairs(latest_pages(spark, d), "id", "text_content", width=3, t=0.5)
+
+
+def p2_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with its class of copies and the number of near-duplicate classes: five-word runs, 0.8."""
+    return near_duplicates.near_duplicate_classes(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Of each query the page that stands first when its three scores count equally."""
     newest = F.max(F.struct(F.col("crawled_at").alias("t"), "url", "pagerank", "quality")).alias("r")
@@ -46,5 +62,38 @@ def p6_blocks(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.recurring_blocks(_lines(spark, d), min_len=2, max_len=8).select("site", "block", "n_lines", "n_docs", "site_docs")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p6_found, p6_blocks)}
-ORACLES: dict[str, str] = {}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return encoding.encode_corpus(load(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_documents, p4_found, p6_found, p6_blocks, p8_ids)}
+
+_LATEST = "(SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC) = 1)"
+_SITE = r"""regexp_replace(regexp_replace(lower(regexp_extract(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\\]*)', 1), '^(?:.*@)?(\[[^\]]*\]|[^:]*)', 1)), '\.$', ''), '^www\.', '')"""
+_LINES = rf"""l AS (SELECT id, {_SITE} AS site, string_split(coalesce(text_content, ''), chr(10)) AS t FROM {_LATEST}),
+      k AS (SELECT id, site, i AS line_no, regexp_replace(lower(t[i]), '[^\p{{L}}]+', '', 'g') AS key FROM (SELECT id, site, t, unnest(range(1, len(t) + 1)) AS i FROM l))"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""
+      WITH p AS (SELECT id, {_SITE} AS site, CASE WHEN quality > 0 AND NOT isnan(quality) THEN quality ELSE 0 END AS q FROM {_LATEST}),
+      r AS (SELECT id, row_number() OVER (PARTITION BY site ORDER BY q DESC, id) AS n FROM p)
+      SELECT id FROM r WHERE n > greatest(1, (SELECT floor(count(*) * 0.02 + 1e-9) FROM p))""",
+    "p6_found": f"""
+      WITH {_LINES},
+      s AS (SELECT site, count(*) AS docs FROM l GROUP BY site),
+      f AS (SELECT k.site, key FROM k JOIN s USING (site) WHERE key <> '' GROUP BY k.site, key, docs HAVING count(DISTINCT id) >= greatest(5, 0.2 * docs - 1e-9))
+      SELECT id, CAST(line_no AS INTEGER) AS line_no FROM k SEMI JOIN f USING (site, key)""",
+    "p4_found": f"""
+      WITH h AS (SELECT query_id, id AS page_id, max(semantic_score) AS a, max(pagerank) AS b, max(CASE WHEN quality > 0 AND NOT isnan(quality) THEN quality END) AS c
+                 FROM search_results JOIN {_LATEST} USING (url) GROUP BY 1, 2),
+      n AS (SELECT query_id, count(*) AS n FROM h GROUP BY 1),
+      r AS (SELECT h.query_id, page_id,
+              CASE WHEN a IS NULL THEN 1 ELSE (rank() OVER (PARTITION BY h.query_id ORDER BY a DESC NULLS LAST) + (count(*) OVER (PARTITION BY h.query_id, a) - 1) / 2.0) / n END AS x,
+              CASE WHEN b IS NULL THEN 1 ELSE (rank() OVER (PARTITION BY h.query_id ORDER BY b DESC NULLS LAST) + (count(*) OVER (PARTITION BY h.query_id, b) - 1) / 2.0) / n END AS y,
+              CASE WHEN c IS NULL THEN 1 ELSE (rank() OVER (PARTITION BY h.query_id ORDER BY c DESC NULLS LAST) + (count(*) OVER (PARTITION BY h.query_id, c) - 1) / 2.0) / n END AS z
+            FROM h JOIN n USING (query_id)),
+      o AS (SELECT query_id, page_id, (x + y + z) / 3 AS m, list_sort([x, y, z]) AS s FROM r),
+      f AS (SELECT query_id, page_id, m, least(1, 3 * least(1 - (1 - s[1]) ** 3, 3 * s[2] ** 2 - 2 * s[2] ** 3, s[3] ** 3)) AS rho FROM o)
+      SELECT query_id, page_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rho, 12), round(m, 12), page_id) = 1""",
+}
