@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfield.functions.sites import site_of
-from grainfield.llm import capping, encoding, near_duplicates, rank_aggregation, repeated_lines
+from grainfield.llm import capping, encoding, near_duplicates, neighbours, rank_aggregation, repeated_lines
 from grainfield.operators.ranking import latest_by
 from grainfield.session import load, stored
 
@@ -48,6 +48,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return rank_aggregation.first_of_each(ranked, "query_id", "page_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks of cosine similarity >= 0.9, one among the other's ten most similar."""
+    return neighbours.similar_pairs(load(spark, d, "chunks"), "id", "embedding", 64, 0.9)
+
+
+def p5_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar chunks of every chunk whose id is divisible by 100, against all chunks."""
+    found = neighbours.nearest(load(spark, d, "chunks"), "id", "embedding", 64, 10, queries=F.col("id") % 100 == 0, lists=1, probes=64)
+    return found.select(F.col("a").alias("id"), F.col("b").alias("neighbour"), F.round("sim", 6).alias("similarity"), "rank")
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.keyed_pages(latest_pages(spark, d), site_of(F.col("url")))
 
@@ -67,7 +78,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(load(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_documents, p4_found, p6_found, p6_blocks, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_documents, p4_found, p5_found, p5_knn, p6_found, p6_blocks, p8_ids)}
 
 _LATEST = "(SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC) = 1)"
 _SITE = r"""regexp_replace(regexp_replace(lower(regexp_extract(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\\]*)', 1), '^(?:.*@)?(\[[^\]]*\]|[^:]*)', 1)), '\.$', ''), '^www\.', '')"""
