@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfield.functions.sites import site_of
-from grainfield.llm import capping, encoding, near_duplicates, neighbours, rank_aggregation, repeated_lines
+from grainfield.llm import capping, contamination, encoding, near_duplicates, neighbours, rank_aggregation, reading_level, repeated_lines
 from grainfield.operators.ranking import latest_by
 from grainfield.session import load, stored
 
@@ -78,7 +78,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(load(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_documents, p4_found, p5_found, p5_knn, p6_found, p6_blocks, p8_ids)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that contain at least half of a benchmark item."""
+    return contamination.contaminated(load(spark, d, "documents"), load(spark, d, "benchmark")).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The reading band of each document of English prose."""
+    return reading_level.reading_levels(load(spark, d, "documents"), load(spark, d, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_documents, p4_found, p5_found, p5_knn, p6_found, p6_blocks, p8_ids, p9_found, p10_found)}
 
 _LATEST = "(SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC) = 1)"
 _SITE = r"""regexp_replace(regexp_replace(lower(regexp_extract(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\\]*)', 1), '^(?:.*@)?(\[[^\]]*\]|[^:]*)', 1)), '\.$', ''), '^www\.', '')"""
