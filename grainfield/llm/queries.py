@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfield.functions.sites import site_of
-from grainfield.llm import capping, contamination, encoding, near_duplicates, neighbours, rank_aggregation, reading_level, repeated_lines
+from grainfield.llm import capping, contamination, encoding, main_content, near_duplicates, neighbours, rank_aggregation, reading_level, repeated_lines
 from grainfield.operators.ranking import latest_by
 from grainfield.session import load, stored
 
@@ -73,6 +73,12 @@ def p6_blocks(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.recurring_blocks(_lines(spark, d), min_len=2, max_len=8).select("site", "block", "n_lines", "n_docs", "site_docs")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each page outside its main body."""
+    pages = latest_pages(spark, d).select("id", site_of(F.col("url")).alias("site"), "title", F.col("text_content").alias("text"))
+    return main_content.furniture_lines(pages)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encoding.encode_corpus(load(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -88,7 +94,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading_level.reading_levels(load(spark, d, "documents"), load(spark, d, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_documents, p4_found, p5_found, p5_knn, p6_found, p6_blocks, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_documents, p4_found, p5_found, p5_knn, p6_found, p6_blocks, p7_found, p8_ids, p9_found, p10_found)}
 
 _LATEST = "(SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC) = 1)"
 _SITE = r"""regexp_replace(regexp_replace(lower(regexp_extract(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\\]*)', 1), '^(?:.*@)?(\[[^\]]*\]|[^:]*)', 1)), '\.$', ''), '^www\.', '')"""
