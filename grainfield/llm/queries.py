@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfield.functions.sites import site_of
-from grainfield.llm import capping, contamination, encoding, main_content, near_duplicates, neighbours, rank_aggregation, reading_level, repeated_lines
+from grainfield.llm import capping, contamination, encoding, main_content, near_duplicates, neighbours, rank_aggregation, reading_level, repeated_lines, scan_repair
 from grainfield.operators.ranking import latest_by
 from grainfield.session import load, stored
 
@@ -39,6 +39,16 @@ def p2_documents(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """What the repair of each submission joined, corrected and removed."""
+    return scan_repair.repairs(load(spark, d, "submissions"))
+
+
+def p3_text(spark: SparkSession, d: str) -> DataFrame:
+    """Each submission as continuous paragraphs."""
+    return scan_repair.repaired(load(spark, d, "submissions")).select("submission_id", "text")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Of each query the page that stands first when its three scores count equally."""
     newest = F.max(F.struct(F.col("crawled_at").alias("t"), "url", "pagerank", "quality")).alias("r")
@@ -94,7 +104,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading_level.reading_levels(load(spark, d, "documents"), load(spark, d, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_documents, p4_found, p5_found, p5_knn, p6_found, p6_blocks, p7_found, p8_ids, p9_found, p10_found)}
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents of each source stand in each reading band."""
+    docs = load(spark, d, "documents").select("doc_id", "source").join(p10_found(spark, d), "doc_id")
+    return docs.groupBy("source", "band").agg(F.count("*").alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_documents, p3_found, p3_text, p4_found, p5_found, p5_knn, p6_found, p6_blocks, p7_found, p8_ids, p9_found, p10_found, p10_profile)}
 
 _LATEST = "(SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC) = 1)"
 _SITE = r"""regexp_replace(regexp_replace(lower(regexp_extract(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\\]*)', 1), '^(?:.*@)?(\[[^\]]*\]|[^:]*)', 1)), '\.$', ''), '^www\.', '')"""
