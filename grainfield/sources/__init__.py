@@ -1 +1,45 @@
+"""Sources and sinks: line lists, JSON records, sitemaps, versioned tables, checkpoints."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grainfield.functions import texts
+
+#: JSON of an archive's records, as far as it is read.
+RECORD_SCHEMA = "id long, metadata struct<title:string, license:struct<id:string>, access_right:string>, files array<struct<key:string, size:long, links:struct<self:string>>>"
+
+
+def line_list(spark: SparkSession, path: str) -> DataFrame:
+    """(value): lines of a list file, trimmed, without blank lines and those that begin with #."""
+    return spark.read.text(path).select(texts.trimmed(F.col("value")).alias("value")).filter((F.col("value") != "") & ~F.col("value").startswith("#"))
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """Archive records, one JSON document a line; malformed ones have null fields."""
+    return spark.read.schema(RECORD_SCHEMA).json(path)
+
+
+def largest_file(files, suffix: str = ".pdf", most_bytes: int = 30 << 20):
+    """The largest file of a record with the suffix and at most so many bytes; of equal ones the first."""
+    fit = F.filter(files, lambda f: F.lower(f["key"]).endswith(suffix) & (f["size"] <= most_bytes))
+    ranked = F.transform(fit, lambda f, i: F.struct(f["size"].alias("s"), (-i).alias("i"), f.alias("f")))
+    return F.array_max(ranked)["f"]
+
+
+def vector_of_json(text):
+    """array<double> of a JSON list; null for null, [] and malformed text."""
+    v = F.from_json(text, "array<double>")
+    return F.when(F.size(v) > 0, v)
+
+
+def write_version(df: DataFrame, root: str, version: int) -> str:
+    """One version of a table in a folder of its own, so that readers never see a half-written one."""
+    path = f"{root.rstrip('/')}/v={version:08d}"
+    df.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def to_json_lines(df: DataFrame, path: str) -> None:
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)
