@@ -18,12 +18,13 @@ def out_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("out_degree"))
 
 
-def page_rank(vertices: DataFrame, links: DataFrame, damping: float = 0.85, steps: int = 50, store_every: int = 10) -> DataFrame:
+def page_rank(vertices: DataFrame, links: DataFrame, damping: float = 0.85, steps: int = 50) -> DataFrame:
     """(id, rank) after a fixed number of steps; the mass of vertices without links is spread evenly. Ranks add up to 1.
 
     The edges carry 1/out-degree and are written once, so each step is one join on src and one aggregation with
     map-side combine. The dangling mass follows from the sum of what was passed on, without a join: all that is
-    not passed on. Ranks are written every few steps, which cuts the lineage and survives lost executors.
+    not passed on. What each vertex got is written at every step: it is read twice, for the ranks and for the dangling mass,
+    and the written table cuts the lineage and survives lost executors.
     An empty table has no ranks; self-links count.
     """
     ids = stored(vertices.select("id").distinct(), "vertices")
@@ -33,13 +34,11 @@ def page_rank(vertices: DataFrame, links: DataFrame, damping: float = 0.85, step
     edges = valid_edges(ids, links)
     edges = stored(edges.join(out_degrees(edges), "src").select("src", "dst", (1.0 / F.col("out_degree")).alias("share")), "edges")
     ranks = ids.withColumn("rank", F.lit(1.0 / n))
-    for step in range(steps):
-        passed = edges.join(ranks.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        flow = ids.join(passed.withColumnRenamed("dst", "id"), "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias("got"))
+    for _ in range(steps):
+        passed = edges.join(ranks.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("got"))
+        flow = stored(passed.unionByName(ids.withColumn("got", F.lit(0.0))).groupBy("id").agg(F.sum("got").alias("got")), "flow")
         lost = flow.agg((1.0 - F.sum("got")).alias("lost"))
         ranks = flow.join(F.broadcast(lost)).select("id", (F.lit((1 - damping) / n) + damping * (F.col("got") + F.col("lost") / n)).alias("rank"))
-        if (step + 1) % store_every == 0:
-            ranks = stored(ranks, "ranks")
     return ranks
 
 

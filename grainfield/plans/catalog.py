@@ -353,27 +353,27 @@ def quality_coverage(spark: SparkSession, d: str) -> DataFrame:
     return quality.coverage(load(spark, d, "pages").select("id").distinct(), reviews_of(spark, d), 2).withColumn("coverage", F.round("coverage", 6))
 
 
-@query(f"SELECT {DOMAIN} AS domain, count(*) AS n_failures FROM {LATEST} WHERE consecutive_failures > 0 AND {DOMAIN} <> '' GROUP BY 1 HAVING count(*) >= 5")
+@query(f"SELECT {DOMAIN} AS domain, count(*) AS n_failures FROM {LATEST} WHERE consecutive_failures > 0 AND {DOMAIN} <> '' GROUP BY 1 HAVING count(*) >= 2")
 def failing_domains(spark: SparkSession, d: str) -> DataFrame:
-    """Domains with at least five pages that failed."""
+    """Domains with at least two pages that failed."""
     rows = pages_of(spark, d).filter("consecutive_failures > 0").select(urls.domain(F.col("url")).alias("domain"), F.lit("status 404").alias("reason"))
-    return quality.failing_domains(rows, "domain", "reason")
+    return quality.failing_domains(rows, "domain", "reason", 2)
 
 
-@query(f"SELECT id, last_validated FROM {LATEST} ORDER BY last_validated ASC NULLS FIRST, id LIMIT 100")
+@query(f"SELECT id, coalesce(epoch_us(last_validated), -1) AS validated_us FROM {LATEST} ORDER BY last_validated ASC NULLS FIRST, id LIMIT 100")
 def validation_queue(spark: SparkSession, d: str) -> DataFrame:
     """The hundred pages validated longest ago, those never validated first."""
-    return pages_of(spark, d).select("id", "last_validated").orderBy(F.col("last_validated").asc_nulls_first(), "id").limit(100)
+    return pages_of(spark, d).select("id", "last_validated").orderBy(F.col("last_validated").asc_nulls_first(), "id").limit(100).select("id", F.coalesce(F.unix_micros("last_validated"), F.lit(-1).cast("long")).alias("validated_us"))
 
 
-@query("SELECT max_by(url, crawled_at) AS url, id, max(crawled_at) AS crawled_at, min_by(pagerank, crawled_at) AS pagerank, max_by(md5(coalesce(text_content, '')), crawled_at) AS text_hash FROM pages GROUP BY id")
+@query("SELECT max_by(url, crawled_at) AS url, id, epoch_us(max(crawled_at)) AS crawled_us, min_by(pagerank, crawled_at) AS pagerank, max_by(md5(coalesce(text_content, '')), crawled_at) AS text_hash FROM pages GROUP BY id")
 def page_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The newest fetch of each page written over the oldest, which keeps its rank."""
     cols = ["id", "url", "crawled_at", "pagerank", "text_hash"]
     rows = load(spark, d, "pages").withColumn("text_hash", F.md5(F.coalesce("text_content", F.lit("")))).select(*cols)
     old = rows.groupBy("id").agg(F.min(F.struct("crawled_at", "url", "pagerank", "text_hash")).alias("r")).select("id", "r.url", "r.crawled_at", "r.pagerank", "r.text_hash")
     new = rows.groupBy("id").agg(F.max(F.struct("crawled_at", "url", "pagerank", "text_hash")).alias("r")).select("id", "r.url", "r.crawled_at", "r.pagerank", "r.text_hash")
-    return tables.upsert(old, new, "id", keep=["pagerank"])
+    return tables.upsert(old, new, "id", keep=["pagerank"]).select("id", "url", F.unix_micros("crawled_at").alias("crawled_us"), "pagerank", "text_hash")
 
 
 _GONE = "SELECT id FROM pages WHERE consecutive_failures >= 3"

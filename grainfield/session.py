@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 _WRITTEN: dict[str, list[str]] = {}
 
 
@@ -75,6 +78,21 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once an application, for functions that run there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    folder = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="grainfield-")) / "grainfield.zip"  # read by the driver alone, which serves it
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(folder.rglob("*.py")):
+            z.write(f, f.relative_to(folder.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
