@@ -76,6 +76,7 @@ class Levels:
         for (_, w), n in counts.items():
             total[w] = total.get(w, 0) + n
         words = sorted(total, key=lambda w: (-total[w], w))[:VOCABULARY]
+        words += sorted(FUNCTION_WORDS.difference(words))
         self.number = {w: i + 1 for i, w in enumerate(words)}
         table = np.ones((len(words) + 1, len(BANDS)))
         for (band, w), n in counts.items():
