@@ -53,15 +53,19 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> tup
 
 @dataclass
 class Centroids:
-    """Centroids of the lists, their neighbours, and the nodes at which a search enters the graph."""
+    """Centroids of the lists, their neighbours, the nodes at which a search enters the graph, and the blocks that long lists are cut into."""
 
     points: np.ndarray
     near: np.ndarray
     entries: np.ndarray
+    blocks: np.ndarray
 
     @classmethod
-    def fit(cls, sample: np.ndarray, lists: int, degree: int = 16, seed: int = 7) -> Centroids:
-        """Two levels of k-means; the second gives each first cluster lists in proportion to its rows, so that lists are balanced."""
+    def fit(cls, sample: np.ndarray, lists: int, total: int, degree: int = 16, seed: int = 7) -> Centroids:
+        """Two levels of k-means; the second gives each first cluster lists in proportion to its rows, so that lists are balanced.
+
+        A list whose length, estimated from the sample, is over 2 * BLOCK is compared in blocks.
+        """
         rng = np.random.default_rng(seed)
         x = unit(sample).astype(np.float32)
         lists = max(1, min(lists, len(x)))
@@ -76,7 +80,10 @@ class Centroids:
         # long edges: every node also knows a few others at random, so that the graph holds together
         far = rng.integers(0, len(points), (len(points), 2), dtype=np.int32)
         heads = np.concatenate([[0], np.cumsum(share[sizes > 0])[:-1]])
-        return cls(points, np.concatenate([near, far], axis=1), heads.astype(np.int32))
+        index = cls(points, np.concatenate([near, far], axis=1), heads.astype(np.int32), np.ones(len(points), dtype=np.int64))
+        length = np.bincount(index.lists_of(x, 4, 1.25)[1], minlength=len(points)) * (total / len(x))
+        index.blocks = np.where(length > 2 * BLOCK, np.ceil(length / BLOCK), 1).astype(np.int64)
+        return index
 
     def search(self, x: np.ndarray, pool: int, beam: int = 4, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """(nearest centroids, their similarity) of each row, best first: a beam search through the graph, all rows at once."""
@@ -134,22 +141,37 @@ def fit_index(vectors: DataFrame, dim: int, total: int) -> Centroids:
     picked = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000)).select("v").limit(SAMPLE).toArrow()
     column = picked.column("v").combine_chunks()
     x = _matrix(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column, dim) if picked.num_rows else np.eye(1, dim, dtype=np.float32)
-    return Centroids.fit(x, max(1, min(MOST_LISTS, total // PER_LIST)))
+    return Centroids.fit(x, max(1, min(MOST_LISTS, total // PER_LIST)), total)
 
 
 def _placed(vectors: DataFrame, index: Centroids, dim: int, most: int, ratio: float) -> DataFrame:
-    """(list, id, v): each vector in its lists. The index, of at most MOST_LISTS centroids, is sent to the tasks."""
+    """(list, q, m, role, id, v): each vector of (id, v, role) in its lists; role 1 asks, 2 is a member, 3 both.
+
+    A list cut into n blocks becomes n * n cells: a query of block i goes to the cells (i, ·), a member of block j to
+    the cells (·, j). The index, of at most MOST_LISTS centroids, is sent to the tasks.
+    """
     sent = vectors.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
+            ids, role = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             rows, lists = sent.value.lists_of(unit(_matrix(b.column(1), dim)).astype(np.float32), most, ratio)
-            picked = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), b.column(0).take(picked), b.column(1).take(picked)], ["list", "id", "v"])
-
-    return vectors.select("id", "v").mapInArrow(run, "list int, id long, v array<float>")
+            n = sent.value.blocks[lists]
+            parts = [(rows[n == 1], lists[n == 1], np.zeros((n == 1).sum(), dtype=int), np.zeros((n == 1).sum(), dtype=int), role[rows[n == 1]])]
+            for bit in (1, 2):
+                long = np.flatnonzero((n > 1) & (role[rows] & bit > 0))
+                k = n[long]
+                again = np.repeat(long, k)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
+                own = ids[rows[again]] % n[again]
+                parts.append((rows[again], lists[again], own if bit == 1 else other, other if bit == 1 else own, np.full(len(again), bit)))
+            at, list_, q, m, r = (np.concatenate(x) for x in zip(*parts, strict=True))
+            picked = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (list_, q, m, r)), b.column(0).take(picked), b.column(1).take(picked)], ["list", "q", "m", "role", "id", "v"])
+
+    return vectors.select("id", "v", F.col("role").cast("int").alias("role")).mapInArrow(run, "list int, q int, m int, role int, id long, v array<float>")
 
 
 def _compare(k: int, least: float, dim: int):
@@ -187,19 +209,8 @@ def _compare(k: int, least: float, dim: int):
 
 
 def _in_lists(placed: DataFrame, k: int, least: float, dim: int) -> DataFrame:
-    """(a, b, sim): within each list the k best members of each query. Long lists become a grid of query and member blocks."""
-    sizes = placed.groupBy(F.col("list").alias("_l")).agg(F.count("*").alias("n")).filter(F.col("n") > 2 * BLOCK)
-    long = stored(sizes.select("_l", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "long")
-    joined = placed.join(F.broadcast(long) if long.count() <= 100_000 else long, F.col("list") == F.col("_l"), "left")
-    own = F.pmod(F.hash("id"), F.col("blocks"))
-    others = lambda f: F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), f)
-    cell = lambda q, m, role: F.struct(q.cast("int").alias("q"), m.cast("int").alias("m"), role.cast("int").alias("role"))
-    asked, held = (F.col("role").bitwiseAND(1) > 0), (F.col("role").bitwiseAND(2) > 0)
-    none = F.array().cast("array<struct<q:int,m:int,role:int>>")
-    grid = F.concat(F.when(asked, others(lambda j: cell(own, j, F.lit(1)))).otherwise(none), F.when(held, others(lambda j: cell(j, own, F.lit(2)))).otherwise(none))
-    cells = F.when(F.col("blocks").isNull(), F.array(cell(F.lit(0), F.lit(0), F.col("role")))).otherwise(grid)
-    rows = joined.select("list", "id", "v", F.explode(cells).alias("cell")).select("list", "id", "v", "cell.q", "cell.m", "cell.role")
-    return rows.groupBy("list", "q", "m").applyInArrow(_compare(k, least, dim), "a long, b long, sim double")
+    """(a, b, sim): within each cell the k best members of each query."""
+    return placed.groupBy("list", "q", "m").applyInArrow(_compare(k, least, dim), "a long, b long, sim double")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -220,7 +231,7 @@ def _crowds(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
     return vectors.join(rest.select("id"), "id", "left_anti"), known
 
 
-def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 10, least: float = -2.0, queries: Column | None = None, lists: int = 3, ratio: float = 1.25, probes: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 10, least: float = -2.0, queries: Column | None = None, lists: int = 4, ratio: float = 1.25, probes: int | None = None) -> DataFrame:
     """(a, b, sim, rank): of every usable vector (or those where `queries` holds of `id`) the k most similar others, at least `least`.
 
     Vectors near a border stand in several lists, and a query looks into its own lists or, with `probes`, into up to
@@ -232,11 +243,11 @@ def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 10, least
     indexed, known = _crowds(vectors, k)
     asked = F.lit(True) if queries is None else queries
     if probes is None:
-        placed = _placed(indexed, index, dim, lists, ratio).withColumn("role", F.when(asked, F.lit(3)).otherwise(F.lit(2)))
+        placed = _placed(indexed.withColumn("role", F.when(asked, F.lit(3)).otherwise(F.lit(2))), index, dim, lists, ratio)
     else:
-        members = _placed(indexed, index, dim, lists, ratio).withColumn("role", F.lit(2))
-        placed = members.unionByName(_placed(indexed.filter(asked), index, dim, probes, 10.0).withColumn("role", F.lit(1)))
-    found = _in_lists(stored(placed, "postings"), k, least, dim)
+        members = _placed(indexed.withColumn("role", F.lit(2)), index, dim, lists, ratio)
+        placed = members.unionByName(_placed(indexed.filter(asked).withColumn("role", F.lit(1)), index, dim, probes, 10.0))
+    found = _in_lists(placed, k, least, dim)
     if known is not None:
         known = known if queries is None else known.withColumnRenamed("a", "id").filter(queries).withColumnRenamed("id", "a")
         found = found.unionByName(known)
