@@ -24,9 +24,9 @@ def first_words(text: Column, n: int = 500) -> Column:
 
 def byte_prefix(text: Column, n: int) -> Column:
     """At most n bytes of a text, never cutting a character."""
-    cut = F.substring(F.encode(text, "UTF-8"), 1, n)
+    cut = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string"))
     whole = F.octet_length(text) <= n
-    return F.when(whole, text).otherwise(F.regexp_replace(F.decode(cut, "UTF-8"), "�+$", ""))
+    return F.when(whole, text).otherwise(F.regexp_replace(cut, "�+$", ""))
 
 
 def snippet(text: Column, n: int = 200) -> Column:
