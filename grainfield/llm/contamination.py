@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainfield.llm.batches import pieces
+
 TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,200}>")
 WORD = re.compile(r"[a-z0-9]+")
 #: Cyrillic and Greek letters, lower case, that look like a Latin letter.
@@ -191,8 +193,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
+            for b in pieces(batch, 1, most_bytes=1_500_000):
                 found = sent.value.found(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32())], ["doc_id", "item_id", "n_words"])
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainfield.llm.batches import pieces
+
 #: The pattern by which this family of tokenizers splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: The same pattern for texts that are all ASCII.
@@ -137,7 +139,7 @@ class MergeReplay:
         return self.ids[at], np.diff(np.concatenate([[0], ends]))
 
 
-def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str, chars: int = 2_000_000) -> DataFrame:
+def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str, most_bytes: int = 2_000_000) -> DataFrame:
     """(key, ids) of every row by the vocabulary file, without special tokens; their strings are ordinary text.
 
     Null and empty texts have an empty list. Nothing is shuffled: each task replays the merges once over every
@@ -151,16 +153,10 @@ def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str, chars:
         replay = None
         for batch in batches:
             replay = replay or MergeReplay(sent.value)
-            texts, begin = batch.column(1).to_pylist(), 0
-            while begin < len(texts):
-                end, room = begin, chars
-                while end < len(texts) and (end == begin or room > 0):
-                    room -= len(texts[end] or "")
-                    end += 1
-                ids, counts = replay.encode(texts[begin:end])
+            for b in pieces(batch, 1, most_bytes):
+                ids, counts = replay.encode(b.column(1).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [key, "ids"])
-                begin = end
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [key, "ids"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainfield.llm.batches import pieces
 from grainfield.session import stored
 
 WORD = re.compile("[a-z0-9]+")
@@ -78,8 +79,7 @@ def _segments(width: int, fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(width)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
+            for b in pieces(batch, 1):
                 ids = b.column(0).to_numpy(zero_copy_only=False)
                 hashes, counts = grams(b.column(1).to_pylist())
                 if not len(hashes):

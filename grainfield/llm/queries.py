@@ -117,7 +117,22 @@ _SITE = r"""regexp_replace(regexp_replace(lower(regexp_extract(regexp_extract(tr
 _LINES = rf"""l AS (SELECT id, {_SITE} AS site, string_split(coalesce(text_content, ''), chr(10)) AS t FROM {_LATEST}),
       k AS (SELECT id, site, i AS line_no, regexp_replace(lower(t[i]), '[^\p{{L}}]+', '', 'g') AS key FROM (SELECT id, site, t, unnest(range(1, len(t) + 1)) AS i FROM l))"""
 
+_VECTORS = f"""v AS (SELECT id, CAST(any_value(embedding) AS DOUBLE[]) AS v FROM chunks WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0 GROUP BY id)"""
+
 ORACLES: dict[str, str] = {
+    "p2_found": f"""
+      WITH p AS (SELECT id, regexp_extract_all(lower(coalesce(text_content, '')), '[a-z0-9]+') AS w FROM {_LATEST}),
+      s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM p)),
+      n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+      o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.id < b.id GROUP BY 1, 2)
+      SELECT id_a, id_b FROM o JOIN n x ON id_a = x.id JOIN n y ON id_b = y.id WHERE 2 * c >= x.n + y.n - c""",
+    "p5_found": f"""
+      WITH {_VECTORS}, s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM v a, v b WHERE a.id <> b.id),
+      t AS (SELECT a, b FROM s WHERE sim >= 0.9 QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 10)
+      SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t""",
+    "p5_knn": f"""
+      WITH {_VECTORS}, s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM v a, v b WHERE a.id <> b.id AND a.id % 100 = 0)
+      SELECT a AS id, b AS neighbour, round(sim, 6) AS similarity, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""",
     "p1_found": f"""
       WITH p AS (SELECT id, {_SITE} AS site, CASE WHEN quality > 0 AND NOT isnan(quality) THEN quality ELSE 0 END AS q FROM {_LATEST}),
       r AS (SELECT id, row_number() OVER (PARTITION BY site ORDER BY q DESC, id) AS n FROM p)

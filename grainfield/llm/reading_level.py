@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainfield.llm.batches import pieces
 from grainfield.session import stored
 
 BANDS = ("basic", "middle", "advanced")
@@ -162,8 +163,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
+            for b in pieces(batch, 1):
                 bands = sent.value.bands(b.column(1).to_pylist())
                 keep = pa.array([k for k, x in enumerate(bands) if x], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(keep), pa.array([x for x in bands if x], pa.string())], ["doc_id", "band"])

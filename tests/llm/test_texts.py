@@ -155,7 +155,7 @@ def test_encoding_equals_the_tokenizer(spark):
     texts += ["".join(rng.choice(" \n\tabcXYZ'.,0129éß日🙂") for _ in range(rng.randint(1, 200))) for _ in range(200)]
     rows = [(i, t, "c") for i, t in enumerate(texts)] + [(9000, None, "c"), (0, "", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    got = encoding.encode_corpus(df, "doc_id", "text", VOCABULARY, chars=300).collect()
+    got = encoding.encode_corpus(df, "doc_id", "text", VOCABULARY, most_bytes=300).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: list(r.ids) for r in got}
     assert by[9000] == []
