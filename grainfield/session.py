@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -37,7 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; `release` removes what was written there."""
     path = f"{shared_dir(spark)}/grainfield/{name}-{uuid.uuid4().hex[:12]}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        atexit.register(_released, spark)
+    _WRITTEN.setdefault(app, []).append(path)
     return path
 
 
@@ -61,6 +65,12 @@ def release(spark: SparkSession) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def _released(spark: SparkSession) -> None:
+    """At the end of the driver, as far as its session still runs."""
+    with contextlib.suppress(Exception):
+        release(spark)
+
+
 def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
     """A session for one machine; a cluster brings its own."""
     b = (
