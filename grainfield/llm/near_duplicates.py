@@ -212,22 +212,23 @@ def similar_representatives(texts: DataFrame, classes: DataFrame, width: int, t:
 def near_duplicate_classes(docs: DataFrame, key: str, text: str, width: int = 5, t: float = 0.8) -> DataFrame:
     """(id, class_id, n_links): each text with the least id of its exact copies and the number of other classes it is similar to.
 
-    Null texts and texts without words are classes of their own without links.
+    Null texts and texts without words are classes of their own without links; so are rows of null id.
     """
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    texts = rows.filter("id IS NOT NULL")
     classes = copy_classes(texts)
     pairs = stored(similar_representatives(texts, classes, width, t), "links")
     links = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    own = texts.select("id").join(classes, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    own = rows.select("id").join(classes, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     return own.join(links, "rep", "left").select("id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def near_duplicate_pairs(docs: DataFrame, key: str, text: str, width: int = 5, t: float = 0.8) -> DataFrame:
     """(id_a, id_b) of all pairs of similarity >= t, exact copies included; texts of fewer than `width` words have none.
 
-    Ids are unique. Copies are joined once and their pairs written out at the end, as the form of the result asks.
+    Ids are unique; rows of null id take no part. Copies are joined once and their pairs written out at the end, as the form of the result asks.
     """
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id IS NOT NULL")
     classes = copy_classes(texts)
     pairs = similar_representatives(texts, classes, width, t).select("a", "b")
     a = pairs.join(classes.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a", "left").select("b", F.coalesce("x", "a").alias("x"))

@@ -70,50 +70,64 @@ class Centroids:
         x = unit(sample).astype(np.float32)
         lists = max(1, min(lists, len(x)))
         top = max(1, int(np.sqrt(lists)))
-        _, own = k_means(x, top, 6, rng)
+        centres, own = k_means(x, top, 6, rng)
         sizes = np.bincount(own, minlength=top)
         share = np.minimum(np.maximum(1, np.round(lists * sizes / len(x)).astype(int)), np.maximum(sizes, 1))
-        points = np.concatenate([k_means(x[own == i], int(share[i]), 6, rng)[0] for i in range(top) if sizes[i]])
+        parts = [k_means(x[own == i], int(share[i]), 6, rng)[0] for i in range(top) if sizes[i]]
+        points = np.concatenate(parts)
+        inner = [int((p @ centres[i]).argmax()) for p, i in zip(parts, np.flatnonzero(sizes), strict=True)]
         near = np.empty((len(points), min(degree, len(points))), dtype=np.int32)
         for at in range(0, len(points), 1024):
             near[at : at + 1024] = np.argsort(-(points[at : at + 1024] @ points.T), axis=1)[:, : near.shape[1]]
-        # long edges: every node also knows a few others at random, so that the graph holds together
-        far = rng.integers(0, len(points), (len(points), 2), dtype=np.int32)
-        heads = np.concatenate([[0], np.cumsum(share[sizes > 0])[:-1]])
-        index = cls(points, np.concatenate([near, far], axis=1), heads.astype(np.int32), np.ones(len(points), dtype=np.int64))
+        # edges back, up to `degree` / 2 of a node, so that nodes that are nobody's neighbours are reached; where a node has
+        # fewer, edges to nodes at random keep the graph together
+        ends = near.ravel()
+        order = np.argsort(ends, kind="stable")
+        place = np.arange(len(ends)) - np.searchsorted(ends[order], ends[order])
+        back = rng.integers(0, len(points), (len(points), degree // 2 + 1), dtype=np.int32)
+        few = place < degree // 2
+        back[ends[order][few], place[few]] = (order // near.shape[1])[few]
+        heads = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]) + np.array(inner)
+        index = cls(points, np.concatenate([near, back], axis=1), heads.astype(np.int32), np.ones(len(points), dtype=np.int64))
         length = np.bincount(index.lists_of(x, 4, 1.25)[1], minlength=len(points)) * (total / len(x))
         index.blocks = np.where(length > 2 * BLOCK, np.ceil(length / BLOCK), 1).astype(np.int64)
         return index
 
-    def search(self, x: np.ndarray, pool: int, beam: int = 4, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """(nearest centroids, their similarity) of each row, best first: a beam search through the graph, all rows at once."""
+    def search(self, x: np.ndarray, pool: int, beam: int = 4, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+        """(nearest centroids, their similarity) of each row, best first: a best-first search through the graph, all rows at once.
+
+        Each round follows the edges of the `beam` best nodes of the pool that were not followed yet.
+        """
         pool = min(pool, len(self.points))
-        sims = x @ self.points[self.entries].T
-        k = min(max(beam, 2), len(self.entries))
-        ids = self.entries[np.argpartition(-sims, k - 1, axis=1)[:, :k]]
-        best, score = self._top(x, ids, pool)
+        k = min(2 * beam, len(self.entries))
+        ids = self.entries[np.argpartition(-(x @ self.points[self.entries].T), k - 1, axis=1)[:, :k]].astype(np.int64)
+        best, score, done = self._top(x, ids, np.zeros(ids.shape, dtype=bool), pool)
+        row = np.arange(len(x))[:, None]
         for _ in range(rounds):
-            step = best[:, :beam]
-            ids = np.concatenate([best, self.near[step].reshape(len(x), -1)], axis=1)
-            was = best
-            best, score = self._top(x, ids, pool)
-            if best.shape == was.shape and (best == was).all():
+            step = np.argsort(done, axis=1, kind="stable")[:, :beam]  # the first that are not done, in order of similarity
+            if done[row, step].all():
                 break
+            done[row, step] = True
+            ids = np.concatenate([best, self.near[best[row, step]].reshape(len(x), -1)], axis=1)
+            best, score, done = self._top(x, ids, np.concatenate([done, np.zeros((len(x), ids.shape[1] - best.shape[1]), dtype=bool)], axis=1), pool)
         return best, score
 
-    def _top(self, x: np.ndarray, ids: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.sort(ids, axis=1)
+    def _top(self, x: np.ndarray, ids: np.ndarray, done: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mark = np.sort(ids * 2 + ~done, axis=1)  # of equal nodes the one that is done comes first
+        ids, done = mark >> 1, (mark & 1) == 0
         sims = np.einsum("qd,qkd->qk", x, self.points[ids], optimize=True)
-        sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -2.0
+        again = ids[:, 1:] == ids[:, :-1]
+        sims[:, 1:][again] = -2.0
+        done[:, 1:][again] = True
         order = np.argsort(-sims, axis=1)[:, :pool]
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), np.take_along_axis(done, order, 1)
 
     def lists_of(self, x: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists of each row: its nearest, and others at most `ratio` times as far, up to `most`."""
         rows, lists = [], []
-        wide = max(12, 2 * most)
+        wide = max(24, 2 * most)
         for at in range(0, len(x), 1024):
-            best, score = self.search(x[at : at + 1024], wide, beam=4 if most < 12 else 12, rounds=4 if most < 12 else 8)
+            best, score = self.search(x[at : at + 1024], wide, beam=4 if most < 12 else 12, rounds=8)
             away = np.sqrt(np.maximum(2 - 2 * score, 0))
             ok = (score > -1.5) & (away <= ratio * away[:, :1] + 1e-9)
             ok[:, most:] = False
@@ -231,7 +245,7 @@ def _crowds(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
     return vectors.join(rest.select("id"), "id", "left_anti"), known
 
 
-def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 10, least: float = -2.0, queries: Column | None = None, lists: int = 4, ratio: float = 1.25, probes: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 10, least: float = -2.0, queries: Column | None = None, lists: int = 3, ratio: float = 1.25, probes: int | None = None) -> DataFrame:
     """(a, b, sim, rank): of every usable vector (or those where `queries` holds of `id`) the k most similar others, at least `least`.
 
     Vectors near a border stand in several lists, and a query looks into its own lists or, with `probes`, into up to

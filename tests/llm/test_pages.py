@@ -52,13 +52,14 @@ def test_near_duplicates_match_brute_force(spark, width, t):
             rows.append((" ".join(x if rng.random() > share else rng.choice(vocab) for x in b).title(),))
     rows += [rows[9]] * 4  # a group of copies
     rows = [(i, r[0], "z", 0.5) for i, r in enumerate(rows)]
-    df = spark.createDataFrame(rows, "id long, text string, fragment string, rep double")
+    df = spark.createDataFrame([*rows, (None, rows[9][1], "z", 0.5)], "id long, text string, fragment string, rep double")
     sets = {i: shingles(x, width) for i, x, *_ in rows}
     want = {(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
     got = near_duplicates.near_duplicate_pairs(df, "id", "text", width, t).collect()
     assert len(got) == len(want) and {(r.id_a, r.id_b) for r in got} == want
     classes = near_duplicates.near_duplicate_classes(df, "id", "text", width, t).collect()
-    assert sorted(r.id for r in classes) == [r[0] for r in rows]
+    assert sorted(r.id for r in classes if r.id is not None) == [r[0] for r in rows] and len(classes) == len(rows) + 1
+    classes = [r for r in classes if r.id is not None]
     rep = {r.id: r.class_id for r in classes}
     links = {tuple(sorted((rep[a], rep[b]))) for a, b in want if rep[a] != rep[b]}
     for r in classes:
