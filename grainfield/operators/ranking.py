@@ -43,21 +43,21 @@ def latest_by(df: DataFrame, key: str, stamp: str) -> DataFrame:
     whose key is null are one group like any other.
     """
     try:
-        slim = df.select(F.col(key).alias("_k"), F.col(stamp).alias("_s"), F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
+        slim = df.select(F.col(key).alias("_k"), F.col(stamp).alias("_s"), F.xxhash64("_metadata.file_path").alias("_latest_file"), F.col("_metadata.row_index").alias("_latest_row"))
     except AnalysisException:
         w = Window.partitionBy(key).orderBy(F.col(stamp).desc_nulls_last(), F.xxhash64(*[F.col(c) for c in df.columns]))
         return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
     best = (
         slim.groupBy(F.col("_k").alias("_bk"))
-        .agg(F.count("*").alias("_n"), F.max(F.struct(F.col("_s").isNotNull().alias("a"), F.col("_s").alias("b"), F.col("_f").alias("c"), F.col("_r").alias("d"))).alias("_w"))
+        .agg(F.count("*").alias("_n"), F.max(F.struct(F.col("_s").isNotNull().alias("a"), F.col("_s").alias("b"), F.col("_latest_file").alias("c"), F.col("_latest_row").alias("d"))).alias("_w"))
         .filter("_n > 1")
-        .select("_bk", F.col("_w.c").alias("_wf"), F.col("_w.d").alias("_wr"))
+        .select("_bk", F.col("_w.c").alias("_win_file"), F.col("_w.d").alias("_win_row"))
     )
     losers = stored(
         slim.join(stored(best, "repeated"), F.col("_k").eqNullSafe(F.col("_bk")))
-        .filter((F.col("_f") != F.col("_wf")) | (F.col("_r") != F.col("_wr")))
-        .select("_f", "_r"),
+        .filter((F.col("_latest_file") != F.col("_win_file")) | (F.col("_latest_row") != F.col("_win_row")))
+        .select("_latest_file", "_latest_row"),
         "older",
     )
-    at = df.select("*", F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
-    return at.join(losers, ["_f", "_r"], "left_anti").drop("_f", "_r")
+    at = df.select("*", F.xxhash64("_metadata.file_path").alias("_latest_file"), F.col("_metadata.row_index").alias("_latest_row"))
+    return at.join(losers, ["_latest_file", "_latest_row"], "left_anti").drop("_latest_file", "_latest_row")

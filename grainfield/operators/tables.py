@@ -71,6 +71,48 @@ def sightings(urls: DataFrame, url: Column) -> DataFrame:
     return urls.select(url.alias("url")).filter("url <> ''").groupBy("url").agg(F.count("*").alias("inbound"))
 
 
+def top_of_frontier(frontier: DataFrame, n: int, noise: float = 0.0, seed: int = 1) -> DataFrame:
+    """The n rows of highest priority ln(1 + inbound), with noise up to a part of it, among the max(3n, 100) of most inbound links.
+
+    Both limits are of fixed size; ties by URL.
+    """
+    most = frontier.orderBy(F.desc("inbound"), "url").limit(max(3 * n, 100))
+    priority = F.log1p("inbound") * (1 + noise * F.rand(seed)) if noise else F.log1p("inbound")
+    return most.withColumn("priority", priority).orderBy(F.desc("priority"), "url").limit(n)
+
+
+def prune_frontier(frontier: DataFrame, known: DataFrame, unwanted: Column) -> DataFrame:
+    """(url, reason) of the entries to remove: already a page, no http address, or unwanted."""
+    marked = frontier.join(known.select(F.col("url").alias("_known")).distinct(), F.col("url") == F.col("_known"), "left")
+    reason = F.when(F.col("_known").isNotNull(), "indexed").when(~F.lower("url").rlike("^https?://"), "not http").when(unwanted, "unwanted")
+    return marked.select("url", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def first_texts(chunks: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Chunks whose text comes first in the corpus, by page and place; texts already `seen` are left out, places keep their gaps.
+
+    Hashes of texts are grouped, with partial aggregation, and the least place joined back by chunk id.
+    """
+    marked = chunks.select(F.col("id"), F.struct("page_id", "idx", "id").alias("at"), F.sha2("text", 256).alias("h"))
+    first = marked.groupBy("h").agg(F.min("at").alias("_at"))
+    if seen is not None:
+        first = first.join(seen.select(F.sha2("text", 256).alias("h")).distinct(), "h", "left_anti")
+    return chunks.join(first.select(F.col("_at.id").alias("id")), "id", "left_semi")
+
+
+def grown_enough(n_then: Column, n_now: Column, least: int = 10, factor: float = 1.05) -> Column:
+    """Whether ranks are due again: enough pages then, and so many more now."""
+    return (n_then >= least) & (n_now > factor * n_then)
+
+
+def checked_batch(rows: DataFrame, problem: Column, most: int = 100) -> DataFrame:
+    """The rows of a small batch if it has 1 to `most` rows and none has a problem; else an error for the whole batch."""
+    n, bad = rows.select(problem.alias("bad")).agg(F.count("*"), F.count_if("bad")).first()
+    if not 1 <= n <= most or bad:
+        raise ValueError(f"batch of {n} rows, {bad} of them bad; at most {most}, none bad")
+    return rows
+
+
 def canonical_winners(pages: DataFrame, canon: Column, is_www: Column, size: str) -> DataFrame:
     """Of pages with one canonical URL the one with most chunks, then not under www., then of least id: (id, canonical, n_merged, is_winner).
 

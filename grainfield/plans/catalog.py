@@ -263,6 +263,26 @@ def url_sightings(spark: SparkSession, d: str) -> DataFrame:
     return tables.sightings(load(spark, d, "search_results"), urls.normalise(F.col("url")))
 
 
+@query("SELECT url, round(ln(1 + inbound), 6) AS priority FROM (SELECT url, count(*) AS inbound FROM search_results GROUP BY url ORDER BY inbound DESC, url LIMIT 150) ORDER BY inbound DESC, url LIMIT 50")
+def frontier_top(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty addresses found most often, by priority."""
+    seen = tables.sightings(load(spark, d, "search_results"), F.col("url"))
+    return tables.top_of_frontier(seen, 50).select("url", F.round("priority", 6).alias("priority"))
+
+
+@query(f"SELECT url, CASE WHEN url IN (SELECT url FROM pages WHERE quality > 0.5) THEN 'indexed' WHEN NOT regexp_matches(lower(url), '^https?://') THEN 'not http' ELSE 'unwanted' END AS reason FROM (SELECT DISTINCT url FROM search_results) WHERE url IN (SELECT url FROM pages WHERE quality > 0.5) OR NOT regexp_matches(lower(url), '^https?://') OR contains(url, 'utm_source')")
+def frontier_prune(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses that need no fetching, with the reason."""
+    found = load(spark, d, "search_results").select("url").distinct()
+    return tables.prune_frontier(found, load(spark, d, "pages").filter("quality > 0.5"), F.col("url").contains("utm_source"))
+
+
+@query(f"SELECT id, page_id, idx FROM {CHUNKS} QUALIFY row_number() OVER (PARTITION BY text ORDER BY page_id, idx, id) = 1")
+def chunk_first_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose text comes first in the corpus."""
+    return tables.first_texts(chunks_of(spark, d)).select("id", "page_id", "idx")
+
+
 @query(f"""WITH d AS (SELECT id, {DOMAIN} AS domain FROM {LATEST}), x AS (SELECT id, unnest([array_to_string(string_split(domain, '.')[i:], '.') for i in range(1, len(string_split(domain, '.')) + 1)]) AS above FROM d),
   l AS (SELECT DISTINCT array_to_string(string_split({DOMAIN}, '.')[-2:], '.') AS above FROM search_results) SELECT above AS listed, count(*) AS n FROM x JOIN l USING (above) GROUP BY above""")
 def domain_suffix_match(spark: SparkSession, d: str) -> DataFrame:

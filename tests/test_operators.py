@@ -111,3 +111,30 @@ def test_stream_counts_each_id_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) AS n FROM feed").first().n == 12
+
+
+def test_frontier_texts_and_batches(spark):
+    f = spark.createDataFrame([(f"https://x/{i}", i % 5) for i in range(20)] + [("ftp://x", 9)], "url string, inbound long")
+    assert [r.url for r in tables.top_of_frontier(f, 2).collect()] == ["ftp://x", "https://x/14"]
+    assert tables.top_of_frontier(f, 3, noise=0.1).count() == 3
+    known = spark.createDataFrame([("https://x/1",)], "url string")
+    assert {(r.url, r.reason) for r in tables.prune_frontier(f, known, F.col("url").endswith("/2")).collect()} == {("https://x/1", "indexed"), ("ftp://x", "not http"), ("https://x/2", "unwanted")}
+    c = spark.createDataFrame([(1, 2, 0, "a"), (2, 1, 1, "a"), (3, 1, 0, "b"), (4, 3, 0, "c")], "id long, page_id long, idx int, text string")
+    assert sorted(r.id for r in tables.first_texts(c).collect()) == [2, 3, 4]
+    assert sorted(r.id for r in tables.first_texts(c, c.filter("text = 'c'").select("text")).collect()) == [2, 3]
+    assert tables.checked_batch(f, F.col("inbound") > 10).count() == 21
+    for bad in (F.col("inbound") > 8, F.lit(True)):
+        with pytest.raises(ValueError):
+            tables.checked_batch(f, bad)
+    due = spark.createDataFrame([(10, 11), (10, 10), (9, 99)], "a int, b int").select(tables.grown_enough(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.d for r in due] == [True, False, False]
+
+
+def test_registered_functions(spark):
+    from grainfield.functions.registered import register
+
+    register(spark)
+    row = spark.sql("SELECT html_page('<title>t</title><p>x</p>', 'https://e.org').title AS t, url_domain('https://u@WWW.Ex.org:80/a') AS d, vector_dot(array(1D, 2D), array(3D, 4D)) AS v").first()
+    assert (row.t, row.d, row.v) == ("t", "ex.org", 11.0)
+    got = spark.sql("SELECT * FROM paragraphs(' a line that is long enough \\nshort', 10)").collect()
+    assert [(r.idx, r.paragraph) for r in got] == [(0, "a line that is long enough")]
