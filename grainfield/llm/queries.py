@@ -49,13 +49,21 @@ def p3_text(spark: SparkSession, d: str) -> DataFrame:
     return scan_repair.repaired(load(spark, d, "submissions")).select("submission_id", "text")
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Of each query the page that stands first when its three scores count equally."""
+def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Significance of every result of each query."""
+    return _significance(spark, d).select("query_id", "page_id", F.round("rho", 9).alias("rho"), F.round("mean_rank", 9).alias("mean_rank"))
+
+
+def _significance(spark: SparkSession, d: str) -> DataFrame:
     newest = F.max(F.struct(F.col("crawled_at").alias("t"), "url", "pagerank", "quality")).alias("r")
     pages = load(spark, d, "pages").groupBy("id").agg(newest).select(F.col("id").alias("page_id"), "r.url", "r.pagerank", F.when(F.col("r.quality") > 0, F.col("r.quality")).alias("quality"))
     hits = load(spark, d, "search_results").select("query_id", "url", "semantic_score").join(pages, "url")
-    ranked = rank_aggregation.robust_rank_aggregation(hits, "query_id", "page_id", ["semantic_score", "pagerank", "quality"])
-    return rank_aggregation.first_of_each(ranked, "query_id", "page_id")
+    return rank_aggregation.robust_rank_aggregation(hits, "query_id", "page_id", ["semantic_score", "pagerank", "quality"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Of each query the page that stands first when its three scores count equally."""
+    return rank_aggregation.first_of_each(_significance(spark, d), "query_id", "page_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +118,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy("source", "band").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_documents, p3_found, p3_text, p4_found, p5_found, p5_knn, p6_found, p6_blocks, p7_found, p8_ids, p9_found, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_documents, p3_found, p3_text, p4_found, p4_ranking, p5_found, p5_knn, p6_found, p6_blocks, p7_found, p8_ids, p9_found, p10_found, p10_profile)}
 
 _LATEST = "(SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC) = 1)"
 _SITE = r"""regexp_replace(regexp_replace(lower(regexp_extract(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\\]*)', 1), '^(?:.*@)?(\[[^\]]*\]|[^:]*)', 1)), '\.$', ''), '^www\.', '')"""
@@ -153,5 +161,17 @@ ORACLES: dict[str, str] = {
             FROM h JOIN n USING (query_id)),
       o AS (SELECT query_id, page_id, (x + y + z) / 3 AS m, list_sort([x, y, z]) AS s FROM r),
       f AS (SELECT query_id, page_id, m, least(1, 3 * least(1 - (1 - s[1]) ** 3, 3 * s[2] ** 2 - 2 * s[2] ** 3, s[3] ** 3)) AS rho FROM o)
-      SELECT query_id, page_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rho, 12), round(m, 12), page_id) = 1""",
+      SELECT query_id, page_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rho, 12) >= 1, round(m, 12), round(rho, 12), page_id) = 1""",
+    "p4_ranking": f"""
+      WITH h AS (SELECT query_id, id AS page_id, max(semantic_score) AS a, max(pagerank) AS b, max(CASE WHEN quality > 0 AND NOT isnan(quality) THEN quality END) AS c
+                 FROM search_results JOIN {_LATEST} USING (url) GROUP BY 1, 2),
+      n AS (SELECT query_id, count(*) AS n FROM h GROUP BY 1),
+      r AS (SELECT h.query_id, page_id,
+              CASE WHEN a IS NULL THEN 1 ELSE (rank() OVER (PARTITION BY h.query_id ORDER BY a DESC NULLS LAST) + (count(*) OVER (PARTITION BY h.query_id, a) - 1) / 2.0) / n END AS x,
+              CASE WHEN b IS NULL THEN 1 ELSE (rank() OVER (PARTITION BY h.query_id ORDER BY b DESC NULLS LAST) + (count(*) OVER (PARTITION BY h.query_id, b) - 1) / 2.0) / n END AS y,
+              CASE WHEN c IS NULL THEN 1 ELSE (rank() OVER (PARTITION BY h.query_id ORDER BY c DESC NULLS LAST) + (count(*) OVER (PARTITION BY h.query_id, c) - 1) / 2.0) / n END AS z
+            FROM h JOIN n USING (query_id)),
+      o AS (SELECT query_id, page_id, (x + y + z) / 3 AS m, list_sort([x, y, z]) AS s FROM r),
+      f AS (SELECT query_id, page_id, m, least(1, 3 * least(1 - (1 - s[1]) ** 3, 3 * s[2] ** 2 - 2 * s[2] ** 3, s[3] ** 3)) AS rho FROM o)
+      SELECT query_id, page_id, round(rho, 9) AS rho, round(m, 9) AS mean_rank FROM f""",
 }

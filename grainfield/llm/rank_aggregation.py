@@ -60,6 +60,10 @@ def robust_rank_aggregation(items: DataFrame, group: str, item: str, scores: lis
 
 
 def first_of_each(ranked: DataFrame, group: str, item: str) -> DataFrame:
-    """The most significant item of each group; of equal ones that of better mean rank, then the smaller."""
-    best = F.min(F.struct(F.round("rho", 12).alias("a"), F.round("mean_rank", 12).alias("b"), F.col(item).alias("c")))
-    return ranked.groupBy(group).agg(best.alias("w")).select(group, F.col("w.c").alias(item))
+    """The item of each group that comes first when all scores count equally: of those with any significance that of best mean rank.
+
+    The corrected minimum rests on one order statistic alone, so it tells which items stand out but may
+    prefer an even item to one that is better on the whole; ties of the mean rank go to the smaller rho, then item.
+    """
+    best = F.min(F.struct((F.round("rho", 12) >= 1.0).alias("a"), F.round("mean_rank", 12).alias("b"), F.round("rho", 12).alias("c"), F.col(item).alias("d")))
+    return ranked.groupBy(group).agg(best.alias("w")).select(group, F.col("w.d").alias(item))
