@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import io
 import shutil
 import tempfile
 import uuid
@@ -89,17 +90,21 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once an application, for functions that run there."""
+    """Send this package to the executors once an application, from the shared folder, for functions that run there."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     folder = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="grainfield-")) / "grainfield.zip"  # read by the driver alone, which serves it
-    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
-    with zipfile.ZipFile(target, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for f in sorted(folder.rglob("*.py")):
             z.write(f, f.relative_to(folder.parent))
-    spark.sparkContext.addPyFile(str(target))
+    path = f"{shared_path(spark, 'package')}.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
 
 
