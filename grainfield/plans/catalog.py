@@ -64,10 +64,16 @@ def reviews_of(spark: SparkSession, d: str) -> DataFrame:
 
 def query_vector(chunks: DataFrame) -> DataFrame:
     """The embedding of the first usable chunk as query 0: one row."""
-    good = chunks.filter((F.size("embedding") == DIM) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (vectors.norm(F.col("embedding")) > 0))
+    good = chunks.filter(search.usable(F.col("embedding"), DIM) & (vectors.norm(F.col("embedding")) > 0))
     return good.orderBy("id").limit(1).select(F.lit(0).cast("long").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def query_vectors(chunks: DataFrame) -> DataFrame:
+    """The embedding of every usable chunk whose id is divisible by 100, as the query of that id."""
+    good = chunks.filter((F.col("id") % 100 == 0) & search.usable(F.col("embedding"), DIM) & (vectors.norm(F.col("embedding")) > 0))
+    return good.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 _SCORED = f"""q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM {CHUNKS} WHERE {USABLE} AND len([x for x in embedding if x <> 0]) > 0 ORDER BY id LIMIT 1),
   s AS (SELECT page_id, id AS chunk_id, idx, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS sim FROM {CHUNKS}, q WHERE {USABLE} AND len([x for x in embedding if x <> 0]) > 0),
   b AS (SELECT * FROM s WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY sim DESC, idx, chunk_id) = 1)"""
@@ -77,21 +83,40 @@ _SCORED = f"""q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM {CHUNKS} WHERE
 def search_best_chunk(spark: SparkSession, d: str) -> DataFrame:
     """The best chunk of every page for one query vector."""
     chunks = chunks_of(spark, d)
-    return search.best_chunks(search.scored_chunks(chunks, query_vector(chunks), DIM)).select("page_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
+    return search.best_chunks(chunks, query_vector(chunks), DIM).select("page_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {_SCORED} SELECT page_id, CAST(row_number() OVER (ORDER BY sim DESC, page_id) AS INTEGER) AS place FROM b QUALIFY place <= 100")
 def search_pool(spark: SparkSession, d: str) -> DataFrame:
     """The hundred pages from which twenty results are chosen."""
     chunks = chunks_of(spark, d)
-    return search.pool(search.best_chunks(search.scored_chunks(chunks, query_vector(chunks), DIM)), 20).select("page_id", "place")
+    return search.pool(search.best_chunks(chunks, query_vector(chunks), DIM, search.POOL * 20), 20).select("page_id", "place")
+
+
+_SCORED_ALL = f"""q AS (SELECT id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM {CHUNKS} WHERE id % 100 = 0 AND {USABLE} AND len([x for x in embedding if x <> 0]) > 0),
+  s AS (SELECT query_id, page_id, id AS chunk_id, idx, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS sim FROM {CHUNKS}, q WHERE {USABLE} AND len([x for x in embedding if x <> 0]) > 0),
+  b AS (SELECT * FROM s WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY query_id, page_id ORDER BY sim DESC, idx, chunk_id) = 1)"""
+
+
+@query(f"WITH {_SCORED_ALL} SELECT query_id, page_id, chunk_id, round(sim, 6) AS similarity FROM b")
+def search_best_chunk_all(spark: SparkSession, d: str) -> DataFrame:
+    """The best chunk of every page for each of the query vectors."""
+    chunks = chunks_of(spark, d)
+    return search.best_chunks(chunks, query_vectors(chunks), DIM).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"WITH {_SCORED_ALL} SELECT query_id, page_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, page_id) AS INTEGER) AS place FROM b QUALIFY place <= 100")
+def search_pool_all(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred pages of each query vector from which twenty results are chosen."""
+    chunks = chunks_of(spark, d)
+    return search.pool(search.best_chunks(chunks, query_vectors(chunks), DIM, search.POOL * 20), 20).select("query_id", "page_id", "place")
 
 
 @query()
 def search_diverse(spark: SparkSession, d: str) -> DataFrame:
-    """Twenty diverse results with all that is shown of them; tested against a plain greedy choice."""
+    """Twenty diverse results of each of the query vectors with all that is shown of them; tested against a plain greedy choice."""
     chunks = chunks_of(spark, d)
-    found = search.search(chunks, pages_of(spark, d), query_vector(chunks), DIM, 20)
+    found = search.search(chunks, pages_of(spark, d), query_vectors(chunks), DIM, 20)
     return found.withColumns({"similarity": F.round("similarity", 6), "final_score": F.round("final_score", 6)})
 
 
@@ -476,6 +501,6 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Diverse search results for one query vector."""
+    """Diverse search results of each query vector."""
     return search_diverse(spark, d)
 

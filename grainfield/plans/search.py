@@ -2,28 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfield.functions import urls, vectors
 
 #: Pool size in results, similarity added between results of one site, weight of relevance in a pick.
 POOL, SAME_SITE, RELEVANCE = 5, 0.3, 0.7
+#: Queries of one broadcast and pass, and of those so many held against the chunks of a batch at once.
+BLOCK, TILE = 2_048, 16
+
+
+def usable(vector: Column, dim: int) -> Column:
+    """Whether a vector has `dim` finite numbers."""
+    return (F.size(vector) == dim) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by page in tables that part no page, with the first row of each page."""
+    left: list[pa.RecordBatch] = []
+
+    def starts(t: pa.Table) -> np.ndarray:
+        page = t.column("page_id")
+        value, null = page.fill_null(0).to_numpy(), page.is_null().to_numpy()
+        return np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (null[1:] != null[:-1])]))
 
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([*left, b]).combine_chunks()
+        at = starts(t)
+        if at[-1]:
+            yield t.slice(0, int(at[-1])).combine_chunks(), at[:-1]
+        left = t.slice(int(at[-1])).combine_chunks().to_batches()
+    if left:
+        t = pa.Table.from_batches(left).combine_chunks()
+        yield t, starts(t)
 
-def scored_chunks(chunks: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
-    """(query_id, page_id, chunk_id, similarity) of positive cosine similarity; `queries` (query_id, vector) is a handful of rows, broadcast as such."""
-    good = chunks.filter((F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    pairs = good.crossJoin(F.broadcast(queries.limit(1_000)))
-    return pairs.select("query_id", "page_id", F.col("id").alias("chunk_id"), "idx", "embedding", vectors.cosine(F.col("embedding"), F.col("vector")).alias("similarity")).filter("similarity > 0")
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    total = np.zeros(x.shape[1])
+    for row in x:
+        total += row * row
+    return np.sqrt(total)
 
-def best_chunks(scored: DataFrame) -> DataFrame:
-    """Of each page its best chunk; of equal ones the first. Partial aggregation keeps one row a page before the shuffle."""
-    best = F.min(F.struct((-F.col("similarity")).alias("a"), "idx", "chunk_id", "embedding")).alias("b")
-    return scored.groupBy("query_id", "page_id").agg(best).select("query_id", "page_id", (-F.col("b.a")).alias("similarity"), F.col("b.chunk_id").alias("chunk_id"), F.col("b.embedding").alias("embedding"))
+
+def _best_of_pages(sent: Broadcast, dim: int, most: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        q_length, floor = _lengths(q), np.zeros(len(ids))
+        for t, heads in _whole_pages(batches):
+            x = np.ascontiguousarray(t.column("embedding").chunk(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim).T)
+            length, sizes, rows = _lengths(x), np.diff(heads, append=t.num_rows), np.arange(t.num_rows)
+            pages, chunks = t.column("page_id").combine_chunks(), t.column("id").combine_chunks()
+            for a in range(0, len(ids), TILE):
+                part = q[:, a : a + TILE]
+                # sums in the order of the numbers, as `vectors.dot` has them, so that equal vectors are equally similar
+                sim, product = np.zeros((part.shape[1], t.num_rows)), np.empty((part.shape[1], t.num_rows))
+                for i in range(dim):
+                    sim += np.multiply(part[i][:, None], x[i][None, :], out=product)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sim /= q_length[a : a + TILE, None] * length[None, :]
+                sim[~(sim > 0)] = 0
+                best = np.maximum.reduceat(sim, heads, axis=1)
+                if most is not None and len(heads) > most:
+                    nth = np.partition(best, len(heads) - most, axis=1)[:, len(heads) - most]
+                    floor[a : a + TILE] = np.maximum(floor[a : a + TILE], nth)
+                k, p = np.nonzero((best > 0) & (best >= floor[a : a + TILE, None]))
+                first = np.minimum.reduceat(np.where(sim == np.repeat(best, sizes, axis=1), rows, t.num_rows), heads, axis=1)
+                chosen = pa.array(first[k, p])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a + k]), pages.take(chosen), chunks.take(chosen), pa.array(best[k, p])], ["query_id", "page_id", "chunk_id", "similarity"])
+
+    return run
+
+
+def best_chunks(chunks: DataFrame, queries: DataFrame, dim: int, most: int | None = None) -> DataFrame:
+    """(query_id, page_id, chunk_id, similarity): for each query the best chunk of every page, of positive cosine similarity; of equal ones the first.
+
+    `queries` (query_id, vector) may be many: they are sent in blocks of BLOCK, each with a pass of its own over the chunks, which
+    are brought together by page, so that only results leave a task. With `most`, pages that can't be among so many
+    of a query are left out where they are found; all pages that tie stay, so `pool` decides among them.
+    """
+    spark = chunks.sparkSession
+    good = chunks.filter(usable(F.col("embedding"), dim)).select("page_id", "idx", "id", "embedding")
+    parts = good.repartition("page_id").sortWithinPartitions("page_id", "idx", "id")
+    rows = queries.filter(usable(F.col("vector"), dim)).select("query_id", vectors.doubles(F.col("vector")).alias("vector")).toLocalIterator()
+    fields = "query_id long, page_id long, chunk_id long, similarity double"
+    found = spark.createDataFrame([], fields)
+    for n, block in enumerate(iter(lambda: list(islice(rows, BLOCK)), [])):
+        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in block], dtype=np.int64), np.array([r.vector for r in block]).T.copy()))
+        own = parts.mapInArrow(_best_of_pages(sent, dim, most), fields)
+        found = found.unionByName(own) if n else own
+    return found
 
 
 def pool(best: DataFrame, k: int) -> DataFrame:
@@ -60,10 +137,11 @@ def search(chunks: DataFrame, pages: DataFrame, queries: DataFrame, dim: int, k:
 
     Only the pool, POOL * k rows a query, is joined with the pages and passes through Python; texts are fetched last.
     """
-    few = pool(best_chunks(scored_chunks(chunks, queries, dim)), k)
+    few = pool(best_chunks(chunks, queries, dim, POOL * k), k)
     n = pages.agg(F.count("*").cast("double").alias("n_pages"))
     slim = pages.select(F.col("id").alias("page_id"), urls.display_domain(F.col("url")).alias("domain"))
-    placed = few.join(slim, "page_id").select("query_id", "page_id", "chunk_id", "similarity", "place", "domain", "embedding")
+    own = chunks.select(F.col("id").alias("chunk_id"), "embedding")
+    placed = few.join(slim, "page_id").join(own, "chunk_id").select("query_id", "page_id", "chunk_id", "similarity", "place", "domain", "embedding")
     fields = "query_id long, page_id long, chunk_id long, similarity double, pick int"
     picked = placed.groupBy("query_id").applyInPandas(lambda r: diverse_pick(r, k)[["query_id", "page_id", "chunk_id", "similarity", "pick"]], fields)
     shown = picked.join(pages.select(F.col("id").alias("page_id"), "url", "title", "license_type", "pagerank", "quality", "compilable"), "page_id")
