@@ -50,18 +50,6 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def prefix_intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Every interval of suffixes sharing a prefix longer than that of the intervals around it: (length, first, last)."""
-    stack: list[tuple[int, int]] = []
-    for i, h in enumerate(lcp.tolist() + [0]):
-        left = i - 1
-        while stack and stack[-1][0] > h:
-            length, left = stack.pop()
-            yield length, left, i - 1
-        if h > 0 and (not stack or stack[-1][0] < h):
-            stack.append((h, left))
-
-
 def _block_counts(min_len: int, max_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
@@ -77,8 +65,12 @@ def _block_counts(min_len: int, max_len: int):
             lists = lists.chunk(0)
         values = lists.flatten().to_numpy(zero_copy_only=False)
         docs = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
+        wanted = t.column("wanted").combine_chunks()
+        if isinstance(wanted, pa.ChunkedArray):
+            wanted = wanted.chunk(0)
+        hot = np.ones(len(values), dtype=bool) if wanted.null_count else wanted.flatten().to_numpy(zero_copy_only=False)
         real = values != 0
-        values, docs = values[real], docs[real]
+        values, docs, hot = values[real], docs[real], hot[real]
         if not len(values):
             return
         # the same letters on two sites are two identifiers; each page ends in a mark of its own
@@ -91,59 +83,76 @@ def _block_counts(min_len: int, max_len: int):
         seq = np.insert(ids, ends, ids.max() + 1 + np.arange(len(ends)))
         doc_at = np.insert(docs, ends, -1)
         value_at = np.insert(values, ends, 0)
+        # for each place the wanted lines from there on without a break; a mark is none
+        place = np.arange(len(seq))
+        stop = np.where(np.insert(hot, ends, False), len(seq), place)
+        run_of = np.minimum.accumulate(stop[::-1])[::-1] - place
         sa, levels = suffix_array(seq)
         lcp = common_prefixes(sa, levels)
-        mark = doc_at[sa] < 0
-        out: list[tuple[np.ndarray, ...]] = []
-        if min_len <= 1:
-            first = np.concatenate([[True], lcp[1:] < 1])
+        follow = np.append(value_at, 0)
+        for size in range(min_len, max_len + 1):
+            first = np.concatenate([[True], lcp[1:] < size])
+            starts = np.flatnonzero(first)
             group = np.cumsum(first) - 1
-            pair = np.unique(group[~mark] * (t.num_rows + 1) + doc_at[sa][~mark])
-            counts = np.bincount(pair // (t.num_rows + 1), minlength=group[-1] + 1)
-            heads = sa[first]
-            keep = doc_at[heads] >= 0
-            out.append((site_of_doc[doc_at[heads[keep]]], value_at[heads[keep]], np.ones(keep.sum(), dtype=np.int64), counts[keep], value_at[heads[keep]]))
-        if max_len > 1:
-            rows = []
-            for length, left, right in prefix_intervals(lcp):
-                if length < max(2, min_len):
-                    continue
-                n = len(np.unique(doc_at[sa[left : right + 1]]))
-                start = sa[left]
-                for size in {min(length, max_len)}:
-                    lines = value_at[start : start + size]
-                    key = 0
-                    for v in lines.tolist():
-                        key = (key * 1_000_003 + v) & 0xFFFFFFFFFFFFFFFF
-                    rows.append((site_of_doc[doc_at[start]], key - (1 << 64) if key >> 63 else key, size, n, lines[0]))
-            if rows:
-                out.append(tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)))
-        for s, key, size, n, head in out:
-            if len(s):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.DictionaryArray.from_arrays(pa.array(s.astype(np.int32)), site_names.dictionary).cast(pa.string()), pa.array(key), pa.array(size.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(head)],
-                    ["site", "block", "n_lines", "n_docs", "first_line"],
-                )
+            fits = run_of[sa] >= size
+            if not fits.any():
+                break
+            pair = np.unique(group[fits] * (t.num_rows + 1) + doc_at[sa][fits])
+            docs_of = np.bincount(pair // (t.num_rows + 1), minlength=len(starts))
+            places = np.diff(starts, append=len(sa))
+            # the line that follows, 0 where the page ends
+            after = follow[np.minimum(sa + size, len(seq))]
+            low, high = np.minimum.reduceat(after, starts), np.maximum.reduceat(after, starts)
+            ended = np.maximum.reduceat(after == 0, starts)
+            keep = fits[starts]
+            heads = sa[starts[keep]]
+            key = np.zeros(len(heads), dtype=np.uint64)
+            for i in range(size):
+                key = key * np.uint64(1_000_003) + value_at[heads + i].view(np.uint64)
+            columns = [key.view(np.int64), np.full(len(heads), size, dtype=np.int32), docs_of[keep].astype(np.int64), value_at[heads], places[keep].astype(np.int64), low[keep], high[keep], ended[keep]]
+            site = pa.DictionaryArray.from_arrays(pa.array(site_of_doc[doc_at[heads]].astype(np.int32)), site_names.dictionary).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([site, *map(pa.array, columns)], ["site", "block", "n_lines", "n_docs", "first_line", "places", "low", "high", "ended"])
 
     return run
 
 
+def _counted(pages: DataFrame, min_docs: int, min_len: int, max_len: int) -> DataFrame:
+    """Blocks of wanted lines, all where `wanted` is null, with their exact numbers of pages, as far as those suffice."""
+    parts = pages.select("site", "id", "keys", "wanted").repartitionByRange("site", "id").sortWithinPartitions("site", "id").select("site", "keys", "wanted")
+    counted = parts.mapInArrow(_block_counts(min_len, max_len), "site string, block long, n_lines int, n_docs long, first_line long, places long, low long, high long, ended boolean")
+    sums = [F.sum("n_docs").alias("n_docs"), F.min("first_line").alias("first_line"), F.sum("places").alias("places"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("ended").alias("ended")]
+    return counted.groupBy("site", "block", "n_lines").agg(*sums).filter(F.col("n_docs") >= min_docs)
+
+
 def recurring_blocks(pages: DataFrame, min_docs: int = 5, min_share: float = 0.2, min_len: int = 1, max_len: int = 1) -> DataFrame:
     """Blocks of min_len to max_len lines that stand on at least min_docs pages and min_share of the pages of their site.
 
     `pages` has (site, id, keys), keys from `line_keys`, one row a page. Pages are range-partitioned by
     site and id, so that small sites stay whole and a hot site is split over many tasks. In each
     part one suffix array covers the concatenated line identifiers, and the common prefixes of
-    neighbouring suffixes give the repeated blocks with their number of pages; parts hold different
-    pages, so counts add up. Single lines (the blocks of length 1) are counted even where a part has
-    them once. Longer blocks are those repeated within a part, cut at max_len.
+    neighbouring suffixes give the blocks of each length with their number of pages, those that stand in the part
+    once included; parts hold different pages, so counts add up. Blocks of two lines and more are made of lines that
+    recur themselves, for each line of a block stands on at least as many pages; other lines end a block. Of
+    them are given those at two places or more that are not always followed by one and the same line, and all of max_len lines.
     Columns: site, block, n_lines, n_docs, first_line, site_docs.
     """
-    parts = pages.select("site", "id", "keys").repartitionByRange("site", "id").sortWithinPartitions("site", "id").select("site", "keys")
-    counted = parts.mapInArrow(_block_counts(min_len, max_len), "site string, block long, n_lines int, n_docs long, first_line long")
-    total = counted.groupBy("site", "block", "n_lines").agg(F.sum("n_docs").alias("n_docs"), F.min("first_line").alias("first_line")).filter(F.col("n_docs") >= min_docs)
     sites = pages.groupBy(F.col("site").alias("_site")).agg(F.count("*").alias("site_docs"))
-    return total.join(sites, F.col("site") == F.col("_site")).filter(F.col("n_docs") >= min_share * F.col("site_docs") - 1e-9).drop("_site")
+
+    def enough(total: DataFrame) -> DataFrame:
+        return total.join(sites, F.col("site") == F.col("_site")).filter(F.col("n_docs") >= min_share * F.col("site_docs") - 1e-9).drop("_site")
+
+    columns = ["site", "block", "n_lines", "n_docs", "first_line", "site_docs"]
+    every = pages.withColumn("wanted", F.lit(None).cast("array<boolean>"))
+    single = enough(_counted(every, min_docs, 1, 1))
+    if max_len <= 1:
+        return single.select(*columns)
+    single = stored(single.select(*columns), "recurring")
+    lines = single.groupBy("site").agg(F.collect_set("first_line").alias("_lines"))
+    some = pages.join(lines, "site").withColumn("wanted", F.transform("keys", lambda x: F.array_contains("_lines", x)))
+    blocks = enough(_counted(some, min_docs, max(2, min_len), max_len))
+    branching = (F.col("places") > 1) & (F.col("ended") | (F.col("low") != F.col("high")) | (F.col("n_lines") == max_len))
+    blocks = blocks.filter(branching).select(*columns)
+    return single.unionByName(blocks) if min_len <= 1 else blocks
 
 
 def keyed_pages(pages: DataFrame, site: Column, key: str = "id", text: str = "text_content") -> DataFrame:
