@@ -24,9 +24,10 @@ def first_words(text: Column, n: int = 500) -> Column:
 
 def byte_prefix(text: Column, n: int) -> Column:
     """At most n bytes of a text, never cutting a character."""
-    cut = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string"))
-    whole = F.octet_length(text) <= n
-    return F.when(whole, text).otherwise(F.regexp_replace(cut, "�+$", ""))
+    raw = F.encode(text, "UTF-8")
+    parted = lambda k: F.hex(F.substring(raw, k + 1, 1)).between("80", "BF")  # noqa: E731  the byte after k goes on with a character
+    cut = F.when(~parted(n), n).when(~parted(n - 1), n - 1).when(~parted(n - 2), n - 2).otherwise(n - 3)
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.substring(raw, F.lit(1), cut).cast("string"))
 
 
 def snippet(text: Column, n: int = 200) -> Column:

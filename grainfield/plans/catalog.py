@@ -223,6 +223,18 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", texts.snippet(F.col("text")).alias("snippet"))
 
 
+@query()
+def first_500_words_all(spark: SparkSession, d: str) -> DataFrame:
+    """Hash of the first 500 words of every document; tested against plain Python."""
+    return load(spark, d, "documents").select("doc_id", F.md5(texts.first_words(F.col("text"))).alias("head"))
+
+
+@query()
+def snippets_all(spark: SparkSession, d: str) -> DataFrame:
+    """What is shown of each document, null for null texts; tested against plain Python."""
+    return load(spark, d, "documents").select("doc_id", texts.snippet(F.col("text")).alias("snippet"))
+
+
 @query("""SELECT doc_id, CASE WHEN t LIKE '%gnu affero general public license%' THEN 'AGPL-3.0'
     WHEN t LIKE '%gnu general public license%' THEN CASE WHEN t LIKE '%version 3%' THEN 'GPL-3.0' ELSE '' END
     WHEN t LIKE '%gnu lesser general public license%' THEN CASE WHEN t LIKE '%version 3%' THEN 'LGPL-3.0' ELSE '' END
