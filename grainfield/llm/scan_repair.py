@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from grainfield.llm.batches import pieces
 from grainfield.session import stored
 
-#: Words of the vocabulary, at most, the most frequent; a word must stand in so many texts to be one.
+#: Words of the vocabulary, at most, more are an error; a word must stand in so many texts to be one.
 VOCABULARY, LEAST_TEXTS = 100_000, 2
+#: Letters from which on a word is not counted.
+LONG = 40
 #: Counters of the table of neighbouring words.
 CELLS = 1 << 18
 #: What a letter or pair of letters is often read as by recognition software.
@@ -230,13 +232,13 @@ class Corrector:
     def texts(self, word: str) -> int:
         return self.counts.get(word, (0, 0))[0]
 
-    def right(self, word: str, before: str = "", after: str = "") -> str | None:
-        """The right spelling of a lower-case word, or None where it stands as it is."""
+    def right(self, word: str, before: str = "", after: str = "", running: bool = False) -> str | None:
+        """The right spelling of a lower-case word, or None where it stands as it is; a `running` word without counts stands in its own text alone."""
         plain = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
         odd = plain != word or any(c.isdigit() for c in plain) or "|" in plain
         if BY_NATURE.match(plain) and plain == word:
             return None
-        own, clean = self.counts.get(word, (0, 0))
+        own, clean = self.counts.get(word, (1, 0) if running and len(word) < LONG else (0, 0))
         if not odd and (clean or len(word) < 4):
             return None
         if plain != word and self.texts(plain) >= LEAST_TEXTS:
@@ -305,7 +307,7 @@ def repair(text: str | None, title: str, corrector: Corrector) -> tuple[str | No
             right = unicodedata.normalize("NFKC", word)
             right = corrector.right(right) or right
         else:
-            right = corrector.right(word, low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else "") if word else None
+            right = corrector.right(word, low[k - 1] if k else "", low[k + 1] if k + 1 < len(low) else "", running=True) if word else None
         if right and right != word:
             done.append(("char", right))
             whole = core(token)
@@ -317,18 +319,27 @@ def repair(text: str | None, title: str, corrector: Corrector) -> tuple[str | No
     return "\n\n".join(out), done
 
 
-def _words_of(text: str, title: str) -> tuple[bool, list[str]]:
+def _words_of(text: str, title: str) -> tuple[bool, list[str], set[str]]:
+    """(whether it is a scan, its words, the forms besides them that `repair` looks up: of split words and of ligatures)."""
     scan = is_scan(text)
     if not scan:
-        return False, [core(w).lower() for w in text.split()]
-    return True, ["" if t is None or t[1] is not None else core(t[0]).lower() for t in Body(text, title).tokens]
+        return False, [core(w).lower() for w in text.split()], set()
+    tokens = Body(text, title).tokens
+    words = ["" if t is None or t[1] is not None else core(t[0]).lower() for t in tokens]
+    forms = {unicodedata.normalize("NFKC", w) for w in words if LIGATURES.search(w)}
+    for t in tokens:
+        if t is not None and t[1] is not None:
+            a, b = core(t[1]).lower(), core(t[2]).lower()
+            forms |= {a + b, f"{a}-{b}"}
+    return True, words, forms | {"".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)) for w in forms}
 
 
 def fit_corrector(texts: DataFrame) -> Corrector:
-    """Vocabulary and neighbour counts from all texts; both have a fixed bound, and words halved by line ends are left out.
+    """Vocabulary and neighbour counts from all texts; words halved by line ends are left out.
 
-    (word, texts, texts that are no scans) is counted in the cluster, and the VOCABULARY most frequent words of
-    at least LEAST_TEXTS texts, or of one that is no scan, reach the driver with CELLS counters of word pairs.
+    (word, texts, texts that are no scans) is counted in the cluster. The words of at least LEAST_TEXTS texts, or of
+    one that is no scan, reach the driver with CELLS counters of word pairs, and of the others those that are a form some text
+    looks up besides its words; more than VOCABULARY in all are an error, none is dropped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,10 +349,13 @@ def fit_corrector(texts: DataFrame) -> Corrector:
             for text, title in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not text or not text.strip():
                     continue
-                scan, words = _words_of(text, title or "")
+                scan, words, forms = _words_of(text, title or "")
+                for w in forms:
+                    if w and len(w) < LONG:
+                        counts.setdefault(w, [0, 0, 0])[2] = 1
                 for w in set(words):
-                    if w and len(w) < 40:
-                        own = counts.setdefault(w, [0, 0])
+                    if w and len(w) < LONG:
+                        own = counts.setdefault(w, [0, 0, 0])
                         own[0] += 1
                         own[1] += not scan
                 for a, b_ in zip(words, words[1:], strict=False):
@@ -350,12 +364,14 @@ def fit_corrector(texts: DataFrame) -> Corrector:
         filled = np.flatnonzero(near)
         if counts:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*counts, *([None] * len(filled))]), pa.array([*([0] * len(counts)), *filled.tolist()], pa.int64()), pa.array([*(v[0] for v in counts.values()), *near[filled].tolist()], pa.int64()), pa.array([*(v[1] for v in counts.values()), *([0] * len(filled))], pa.int64())],
-                ["word", "cell", "n", "clean"],
+                [pa.array([*counts, *([None] * len(filled))]), pa.array([*([0] * len(counts)), *filled.tolist()], pa.int64()), pa.array([*(v[0] for v in counts.values()), *near[filled].tolist()], pa.int64()), pa.array([*(v[1] for v in counts.values()), *([0] * len(filled))], pa.int64()), pa.array([*(v[2] for v in counts.values()), *([0] * len(filled))], pa.int64())],
+                ["word", "cell", "n", "clean", "form"],
             )
 
-    counted = stored(texts.mapInArrow(run, "word string, cell long, n long, clean long").groupBy("word", "cell").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean")), "words")
-    words = counted.filter(F.col("word").isNotNull()).orderBy(F.desc("n"), "word").limit(VOCABULARY)
+    counted = stored(texts.mapInArrow(run, "word string, cell long, n long, clean long, form long").groupBy("word", "cell").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"), F.max("form").alias("form")), "words")
+    words = counted.filter(F.col("word").isNotNull() & ((F.col("clean") > 0) | (F.col("n") >= LEAST_TEXTS) | ((F.col("form") > 0) & (F.col("n") > 0))))
+    if (many := words.count()) > VOCABULARY:
+        raise ValueError(f"{many} words, more than the {VOCABULARY} that one vocabulary may hold")
     near = np.zeros(CELLS, dtype=np.int64)
     for r in counted.filter(F.col("word").isNull()).select("cell", "n").toLocalIterator():
         near[r.cell] = r.n
