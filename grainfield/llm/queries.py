@@ -134,6 +134,14 @@ ORACLES: dict[str, str] = {
       n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
       o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.id < b.id GROUP BY 1, 2)
       SELECT id_a, id_b FROM o JOIN n x ON id_a = x.id JOIN n y ON id_b = y.id WHERE 2 * c >= x.n + y.n - c""",
+    "p2_documents": """
+      WITH p AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+      c AS (SELECT id, w, CASE WHEN len(w) > 0 THEN min(id) OVER (PARTITION BY w) ELSE id END AS class_id FROM p),
+      s AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM c WHERE id = class_id)),
+      n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+      o AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.id <> b.id GROUP BY 1, 2),
+      l AS (SELECT a, count(*) AS n_links FROM o JOIN n x ON a = x.id JOIN n y ON b = y.id WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9 GROUP BY a)
+      SELECT id AS doc_id, class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN l ON class_id = a""",
     "p5_found": f"""
       WITH {_VECTORS}, s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM v a, v b WHERE a.id <> b.id),
       t AS (SELECT a, b FROM s WHERE sim >= 0.9 QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 10)

@@ -70,16 +70,18 @@ def test_near_duplicates_of_nothing(spark):
     assert near_duplicates.near_duplicate_pairs(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
 
 
-def test_hot_fragment_in_small_blocks():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    segs = [np.unique(rng.integers(0, 40, 12)) for _ in range(150)]
-    sizes = np.array([len(s) for s in segs])
-    got = set()
-    for x, y in near_duplicates.similar_segments(np.arange(150), sizes, sizes, np.concatenate(segs).astype(np.int32), 0.5, room=500):
-        got |= {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist(), strict=True)}
-    assert got == {(i, j) for i, j in combinations(range(150), 2) if len(np.intersect1d(segs[i], segs[j])) * 2 >= len(np.union1d(segs[i], segs[j]))}
+def test_candidates_whatever_the_tasks_and_blocks(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(vocab) for _ in range(80)] for _ in range(40)]
+    texts = [" ".join(x if rng.random() > 0.03 else rng.choice(vocab) for x in b) for b in base for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = near_duplicates.gram_sets(df, 3)
+    grams = {i: shingles(x, 3) for i, x in enumerate(texts)}
+    true = {(a, b) for a, b in combinations(grams, 2) if 2 * len(grams[a] & grams[b]) >= len(grams[a] | grams[b])}
+    for tasks, hot in ((12, 20_000), (204, 20_000), (2_004, 20_000), (12, 1)):  # with blocks of one text every shared n-gram has a grid
+        got = {(r.a, r.b) for r in near_duplicates.candidate_pairs(sets, 0.5, tasks, hot).collect()}
+        assert true <= got and len(got) <= 3 * len(true)
 
 
 def test_rank_aggregation_matches_plain_ranks(spark):
