@@ -30,7 +30,7 @@ FRAGMENTS = 12
 #: Counters of the frequency order, and counters of one row on their way to the sum; n-grams of one counter are ordered by hash.
 CELLS, CHUNK = 1 << 22, 1 << 14
 #: Postings of one task, on the average; it decides how many tasks a fragment has and nothing else.
-TASK_POSTINGS = 1_000_000
+TASK_POSTINGS = 250_000
 #: Texts of one n-gram that are held against each other in one block of a grid.
 HOT = 20_000
 

@@ -54,16 +54,16 @@ def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     return _significance(spark, d).select("query_id", "page_id", F.round("rho", 9).alias("rho"), F.round("mean_rank", 9).alias("mean_rank"))
 
 
-def _significance(spark: SparkSession, d: str) -> DataFrame:
+def _significance(spark: SparkSession, d: str, lean: float | None = None) -> DataFrame:
     newest = F.max(F.struct(F.col("crawled_at").alias("t"), "url", "pagerank", "quality")).alias("r")
     pages = load(spark, d, "pages").groupBy("id").agg(newest).select(F.col("id").alias("page_id"), "r.url", "r.pagerank", F.when(F.col("r.quality") > 0, F.col("r.quality")).alias("quality"))
     hits = load(spark, d, "search_results").select("query_id", "url", "semantic_score").join(pages, "url")
-    return rank_aggregation.robust_rank_aggregation(hits, "query_id", "page_id", ["semantic_score", "pagerank", "quality"])
+    return rank_aggregation.robust_rank_aggregation(hits, "query_id", "page_id", ["semantic_score", "pagerank", "quality"], lean)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Of each query the page that stands first when its three scores count equally."""
-    return rank_aggregation.first_of_each(_significance(spark, d), "query_id", "page_id")
+    """Of each query the most significant page over three consensus rankings of its scores."""
+    return rank_aggregation.first_of_each(_significance(spark, d, lean=1.5), "query_id", "page_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -167,9 +167,14 @@ ORACLES: dict[str, str] = {
               CASE WHEN b IS NULL THEN 1 ELSE (rank() OVER (PARTITION BY h.query_id ORDER BY b DESC NULLS LAST) + (count(*) OVER (PARTITION BY h.query_id, b) - 1) / 2.0) / n END AS y,
               CASE WHEN c IS NULL THEN 1 ELSE (rank() OVER (PARTITION BY h.query_id ORDER BY c DESC NULLS LAST) + (count(*) OVER (PARTITION BY h.query_id, c) - 1) / 2.0) / n END AS z
             FROM h JOIN n USING (query_id)),
-      o AS (SELECT query_id, page_id, (x + y + z) / 3 AS m, list_sort([x, y, z]) AS s FROM r),
+      w AS (SELECT query_id, page_id, (x + y + z) / 3 AS m, round(1.5 * x + y + z, 9) AS a, round(x + 1.5 * y + z, 9) AS b, round(x + y + 1.5 * z, 9) AS c FROM r),
+      v AS (SELECT w.query_id, page_id, m,
+              (rank() OVER (PARTITION BY w.query_id ORDER BY a) + (count(*) OVER (PARTITION BY w.query_id, a) - 1) / 2.0) / n AS x,
+              (rank() OVER (PARTITION BY w.query_id ORDER BY b) + (count(*) OVER (PARTITION BY w.query_id, b) - 1) / 2.0) / n AS y,
+              (rank() OVER (PARTITION BY w.query_id ORDER BY c) + (count(*) OVER (PARTITION BY w.query_id, c) - 1) / 2.0) / n AS z FROM w JOIN n USING (query_id)),
+      o AS (SELECT query_id, page_id, m, list_sort([x, y, z]) AS s FROM v),
       f AS (SELECT query_id, page_id, m, least(1, 3 * least(1 - (1 - s[1]) ** 3, 3 * s[2] ** 2 - 2 * s[2] ** 3, s[3] ** 3)) AS rho FROM o)
-      SELECT query_id, page_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rho, 12) >= 1, round(m, 12), round(rho, 12), page_id) = 1""",
+      SELECT query_id, page_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rho, 12), round(m, 12), page_id) = 1""",
     "p4_ranking": f"""
       WITH h AS (SELECT query_id, id AS page_id, max(semantic_score) AS a, max(pagerank) AS b, max(CASE WHEN quality > 0 AND NOT isnan(quality) THEN quality END) AS c
                  FROM search_results JOIN {_LATEST} USING (url) GROUP BY 1, 2),

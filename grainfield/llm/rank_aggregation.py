@@ -45,25 +45,43 @@ def normalised_ranks(items: DataFrame, group: str, item: str, scores: list[str])
     return wide.select(F.col("_g").alias(group), F.col("_item").alias(item), *[F.coalesce(F.col(f"_r{i}") / F.col("_size"), F.lit(1.0)).alias(f"r_{s}") for i, s in enumerate(scores)])
 
 
-def robust_rank_aggregation(items: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
-    """Significance of each item: its normalised ranks sorted, the beta probability of each order statistic, the least of them times their number.
+def leaning_ranks(items: DataFrame, group: str, item: str, scores: list[str], lean: float = 1.5) -> DataFrame:
+    """For each item of each group its normalised rank in as many consensus rankings as there are scores, and its mean rank by the scores.
 
-    Columns: group, item, rho (small is good, at most 1) and mean_rank, which breaks ties of rho.
-    Groups and items may be null and are then a group or an item of their own.
+    A consensus ranking orders the items by the weighted mean of their ranks by all scores, one of which counts `lean` times as
+    much as each other; so every ranking hears all scores and none is led by one alone.
     """
+    ranks = stored(normalised_ranks(items, group, item, scores), "ranks")
+    total = lambda own: reduce(lambda a, b: a + b, [F.col(f"r_{s}") * (lean if s == own else 1.0) for s in scores])
+    voices = ranks.select(group, item, *[(-F.round(total(s), 9)).alias(s) for s in scores])
+    means = ranks.select(F.col(group).alias("_mg"), F.col(item).alias("_mi"), (total(None) / len(scores)).alias("mean_rank"))
+    leaned = normalised_ranks(voices, group, item, scores)
+    return leaned.join(means, F.col(group).eqNullSafe(F.col("_mg")) & F.col(item).eqNullSafe(F.col("_mi"))).drop("_mg", "_mi")
+
+
+def significance(ranks: DataFrame, scores: list[str]) -> Column:
+    """rho of an item: its normalised ranks sorted, the beta probability of each order statistic, the least of them times their number, at most 1."""
     n = len(scores)
-    ranks = normalised_ranks(items, group, item, scores)
-    ordered = ranks.withColumn("_o", F.array_sort(F.array(*[F.col(f"r_{s}") for s in scores])))
-    ps = [beta_order_probability(F.col("_o")[k - 1], k, n) for k in range(1, n + 1)]
-    least = F.least(*ps) if n > 1 else ps[0]
-    return ordered.select(group, item, F.least(F.lit(1.0), least * n).alias("rho"), (reduce(lambda a, b: a + b, [F.col(f"r_{s}") for s in scores]) / n).alias("mean_rank"))
+    ordered = F.array_sort(F.array(*[F.col(f"r_{s}") for s in scores]))
+    ps = [beta_order_probability(ordered[k - 1], k, n) for k in range(1, n + 1)]
+    return F.least(F.lit(1.0), (F.least(*ps) if n > 1 else ps[0]) * n)
 
 
-def first_of_each(ranked: DataFrame, group: str, item: str) -> DataFrame:
-    """The item of each group that comes first when all scores count equally: of those with any significance that of best mean rank.
+def robust_rank_aggregation(items: DataFrame, group: str, item: str, scores: list[str], lean: float | None = None) -> DataFrame:
+    """Significance of each item by its ranks: by each score, or with `lean` in the consensus rankings of `leaning_ranks`.
 
-    The corrected minimum rests on one order statistic alone, so it tells which items stand out but may
-    prefer an even item to one that is better on the whole; ties of the mean rank go to the smaller rho, then item.
+    Columns: group, item, rho (small is good, at most 1) and mean_rank, which breaks ties of rho.
+    Groups and items may be null and are then a group or an item of their own.
     """
-    best = F.min(F.struct((F.round("rho", 12) >= 1.0).alias("a"), F.round("mean_rank", 12).alias("b"), F.round("rho", 12).alias("c"), F.col(item).alias("d")))
+    if lean is None:
+        ranks = normalised_ranks(items, group, item, scores)
+        ranks = ranks.withColumn("mean_rank", reduce(lambda a, b: a + b, [F.col(f"r_{s}") for s in scores]) / len(scores))
+    else:
+        ranks = leaning_ranks(items, group, item, scores, lean)
+    return ranks.select(group, item, significance(ranks, scores).alias("rho"), "mean_rank")
+
+
+def first_of_each(ranked: DataFrame, group: str, item: str) -> DataFrame:
+    """The most significant item of each group; of equal rho the better mean rank, then the smaller item."""
+    best = F.min(F.struct(F.round("rho", 12).alias("a"), F.round("mean_rank", 12).alias("b"), F.col(item).alias("d")))
     return ranked.groupBy(group).agg(best.alias("w")).select(group, F.col("w.d").alias(item))
