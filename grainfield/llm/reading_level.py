@@ -18,8 +18,6 @@ from grainfield.session import stored
 BANDS = ("basic", "middle", "advanced")
 #: Labelled documents the models are fitted on, at most, chosen by hash; labels beyond are not needed for three word lists.
 LABELLED = 5_000
-#: Words kept in the models, the most frequent; others count as the unknown word.
-VOCABULARY = 200_000
 #: Least words of a document, and least part of it that must be running English.
 LEAST_WORDS, LEAST_SHARE = 50, 0.5
 #: Frequent English words that carry no topic.
@@ -70,27 +68,21 @@ def prose_parts(text: str) -> tuple[list[str], int]:
 
 
 class Levels:
-    """Log probabilities of words in each band with add-one smoothing and a shared unknown word."""
+    """Log probabilities of words in each band with add-one smoothing; a word no labelled document has is the unknown word, which has the smoothed mass of one word."""
 
     def __init__(self, counts: dict[tuple[str, str], int], priors: dict[str, int]):
-        total: dict[str, int] = {}
-        for (_, w), n in counts.items():
-            total[w] = total.get(w, 0) + n
-        words = sorted(total, key=lambda w: (-total[w], w))[:VOCABULARY]
-        words += sorted(FUNCTION_WORDS.difference(words))
+        words = sorted({w for _, w in counts} | FUNCTION_WORDS)
         self.number = {w: i + 1 for i, w in enumerate(words)}
         table = np.ones((len(words) + 1, len(BANDS)))
         for (band, w), n in counts.items():
-            if w in self.number:
-                table[self.number[w], BANDS.index(band)] += n
+            table[self.number[w], BANDS.index(band)] += n
         self.log = np.log(table / table.sum(axis=0))
-        self.log[0] = 0.0  # an unknown word tells nothing
         self.log = np.concatenate([self.log, [[float(w in FUNCTION_WORDS)] for w in ["", *words]]], axis=1)
         prior = np.array([priors.get(b, 0) + 1.0 for b in BANDS])
         self.prior = np.log(prior / prior.sum())
 
     def bands(self, texts: list[str | None]) -> list[str | None]:
-        """The band of each text that is mainly English prose, else None: every sentence goes to its likeliest band, the most words win."""
+        """The band of each text that is mainly English prose, else None: the band of highest posterior probability, over all words of its running text."""
         numbers: list[int] = []
         ends, docs, words_of = [], [], []
         totals = np.zeros(len(texts), dtype=np.int64)
@@ -115,11 +107,10 @@ class Levels:
         tokens = np.diff(np.concatenate([starts, [len(numbers)]]))
         size = len(texts)
         words, function, letters = np.bincount(d, n, size), np.bincount(d, sums[:, 3], size), np.bincount(d, tokens, size)
-        band = (sums[:, :3] + self.prior).argmax(axis=1)
-        votes = np.stack([np.bincount(d[band == k], n[band == k], size) for k in range(3)], axis=1)
+        posterior = np.stack([np.bincount(d, sums[:, k], size) for k in range(3)], axis=1) + self.prior
         good = (words >= LEAST_WORDS) & (words >= LEAST_SHARE * totals) & (function >= 0.2 * letters)
         for i in np.flatnonzero(good):
-            out[i] = BANDS[int(votes[i].argmax())]
+            out[i] = BANDS[int(posterior[i].argmax())]
         return out
 
 
@@ -133,7 +124,7 @@ def agreed_labels(labels: DataFrame) -> DataFrame:
 
 
 def fit_levels(docs: DataFrame, labels: DataFrame) -> Levels:
-    """Models from at most LABELLED labelled documents; only word counts per band reach the driver."""
+    """Models from at most LABELLED labelled documents; all their word counts per band, as many as these documents have words, reach the driver."""
     agreed = agreed_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     chosen = stored(docs.select("doc_id", "text").join(stored(agreed, "labels"), "doc_id").filter("text IS NOT NULL"), "labelled")
 
@@ -149,14 +140,14 @@ def fit_levels(docs: DataFrame, labels: DataFrame) -> Levels:
 
     words = chosen.select("band", "text").mapInArrow(run, "band string, word string, n long").groupBy("band", "word").agg(F.sum("n").alias("n"))
     priors = {r.band: r["count"] for r in chosen.groupBy("band").count().collect()}
-    return Levels({(r.band, r.word): r.n for r in words.orderBy(F.desc("n"), "word", "band").limit(3 * VOCABULARY).toLocalIterator()}, priors)
+    return Levels({(r.band, r.word): r.n for r in words.toLocalIterator()}, priors)
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, band) of each document that is mainly English running prose of at least 50 words.
 
     Null, empty, short and other texts have no row. With no labels every band is as likely, and the first is given.
-    The models hold at most VOCABULARY words and are sent to the tasks; nothing is shuffled. A row that is
+    The models hold the words of the labelled documents and are sent to the tasks; nothing is shuffled. A row that is
     repeated is answered each time.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit_levels(docs, labels))
