@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log2
@@ -14,22 +15,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainfield.llm.batches import pieces
+from grainfield.session import stored
 
 #: Pages the model is trained on, at most, chosen by hash of the id; every page is then classified.
 LABELLED = 3_000
 FEATURES = 1 << 15
 LONG = 60
 
-#: Words by which the seed labels know lines that surround a text.
+#: Pages of a site, as a number and a part of its pages, and sites, as a number and a part of all, from which on a line recurs.
+SITE_PAGES, SITE_SHARE, SITES, SITES_SHARE = 5, 0.15, 3, 0.02
+#: Words that the web at large has in lines around a text; only the seed labels of the sample know them, the model does not.
 CUES = re.compile(
-    r"""cookie|privacy|consent|stores?\ small\ files|skip\ to|back\ to\ top|^menu$|©|\(c\)\s*\d|copyright|some\ rights|^revision\b|last\ (?:edited|updated|modified)|powered\ by|
-    ^\W*tags?:|^\W*by\s\w+(?:\s\w+)?\W*$|^\W*share\b(?!-)|^\W*send\ this|^\W*liked\ this|tell\ a\ friend|subscribe|newsletter|monthly\ letter|\d\s+comments?\b|readers?\ found|has\ been\ read|imprint|accessibility|report\ a\ problem|
-    ^\W*(?:advertisement|sponsored|related|read\ also|see\ also|more\ on\ this|elsewhere\ on\ this\ site|from\ the\ archives?|reader\ poll)\b[^:]*:|[←→]|shared\ alike|on\ equal\ terms|must\ carry\ this\ notice|may\ be\ reused""",
+    r"""\b(?:cookies?|privacy|consent|copyright|newsletter|subscribe|sponsored|advertisement)\b|©|\(c\)\s*\d|\b(?:all|some)\ rights\b|^\W*(?:skip\ to|back\ to\ top|menu$|powered\ by|tags?:|share\b(?!-)|by\s\w+(?:\s\w+)?\W*$)|
+    ^\W*last\ (?:edited|updated|modified)|^\W*[\d,.]+\s(?:comments?|views|likes)\b|^\W*(?:related|read\ also|see\ also|read\ more|more\ on)\b[^:]*:|[←→]""",
     re.X,
 )
-HEADS = re.compile(r"^\W*(?:in this section|related (?:pages|articles|posts)|most (?:read|viewed)|you may also like|recent(?: posts)?|popular|see also|elsewhere)\W*$")
 STATEMENT = re.compile(r"[{}=;$]|\w\(|\):$|:\s*$|^\s*#include|^select .* from")
 MARKED = re.compile(r"^\s*(?:\*\s+|[•·]\s*)?(.*?)(?:\s*(?:»|\.\.\.|…))?\s*$", re.S)
+DIGIT, CAPITAL, STOP = re.compile(r"\d"), re.compile(r"(?<!\S)[A-Z]"), re.compile(r"[.!?](?:\s|$)")
 TOKEN = re.compile(r"[a-z]+|\d+|[^\sa-z\d]")
 
 
@@ -46,42 +49,54 @@ def stem(line: str) -> str:
     return " ".join(MARKED.match(line)[1].lower().split())
 
 
-def seed_labels(lines: list[str], title: str, site: str, repeated: set[str]) -> list[int]:
-    """1 for the main body, 0 for what surrounds it, by rules of high precision; lines are not blank.
+def line_keys(line: str, label: str) -> tuple[str, str]:
+    """The letters of a line, and of its beginning up to a colon, without the name of its site: by these lines that recur are known."""
+    low = line.lower()
+    low = low.replace(label, "") if label else low
+    head, colon, _ = low.partition(":")
+    return letters(low), f"{letters(head)}:" if colon and len(head) < LONG else ""
 
-    A page whose title does not stand in its text has no body. Before the title all is furniture; after it
-    are lines that repeat over the site, carry its name or a cue, and titles listed below a section head.
+
+def seed_labels(lines: list[str], title: str, label: str, on_site: set[str], on_sites: set[str]) -> tuple[list[int], list[str]]:
+    """(labels, heads of lists): 1 for the main body, 0 for what surrounds it, -1 where the page's structure does not tell; lines are not blank.
+
+    A page whose title does not stand in its text has no body. Before the title all is furniture. After it a line is furniture if it
+    recurs over its site, or over several sites and leads to no text, or begins with words and a colon that do, or has a cue of the web at large, or
+    stands in a list of short lines that a recurring line heads. Running text, items and code are main body, and so is a line of its own that leads to text.
     """
     key = letters(title)
     at = next((i for i, x in enumerate(lines) if key and letters(x) == key), None)
     if at is None:
-        return [0] * len(lines)
-    out, listed = [0] * len(lines), False
+        return [0] * len(lines), []
+    out, listed, heads = [0] * len(lines), False, []
     out[at] = 1
+    inside = [bool(x.lstrip(" *•-·0123456789.)")[:1].islower() or STATEMENT.search(stem(x))) for x in lines]
+    prose = [is_prose(x.strip()) for x in lines]
+    keys = [line_keys(x, label) for x in lines]
+    cues = [CUES.search(stem(x)) is not None for x in lines]
+    near, far = [k in on_site for k, _ in keys], [k in on_sites for k, _ in keys]
     for i in range(at + 1, len(lines)):
-        s, k = stem(lines[i]), letters(lines[i])
-        prose = is_prose(lines[i].strip())
-        if HEADS.match(s):
-            listed = True
-            continue
-        if CUES.search(s) or k in repeated or (site and re.search(rf"\b{re.escape(site)} [a-z]+\b", s) and not prose):
+        leads = any(prose[j] or inside[j] or lines[j].strip().endswith((".", "!", "?")) for j in range(i + 1, min(i + 3, len(lines))))
+        if cues[i] or (keys[i][1] in on_sites and not inside[i] and len(lines[i]) < 160):
             listed = False
-            continue
-        lower = lines[i].lstrip(" *•-·0123456789.)")[:1].islower() or STATEMENT.search(s)
-        if listed and not prose and not lower:
-            continue
-        listed = False
-        if prose or lower or s.endswith((".", "!", "?")):
-            out[i] = 1
-        else:  # a heading leads to text
-            out[i] = int(any(is_prose(x.strip()) or x.strip().endswith((".", "!", "?")) for x in lines[i + 1 : i + 3]) or STATEMENT.search(stem("\n".join(lines[i + 1 : i + 2]))) is not None)
-    return out
+        elif prose[i]:
+            out[i], listed = int(not near[i] and not far[i]), False
+        elif near[i] or far[i]:  # a heading that recurs, or the head of a list
+            out[i] = (-1 if near[i] else 1) if leads else 0
+            listed = not leads and i + 1 < len(lines) and not (near[i + 1] or far[i + 1] or cues[i + 1])
+            if listed:
+                heads.append(stem(lines[i]))
+        elif inside[i] or not listed:
+            out[i], listed = (1 if inside[i] or leads or lines[i].strip().endswith((".", "!", "?")) else -1), False
+    return out, heads
 
 
 class Featurizer:
     """Hashed features of each line of a page; those that depend on the line alone are kept."""
 
-    def __init__(self):
+    def __init__(self, heads: frozenset[str] = frozenset()):
+        #: lines that head a list of links, as the labelled pages have them
+        self.heads = heads
         self.own: dict[str, tuple[list[int], str, bool]] = {}
         self.names: dict[str, int] = {}
 
@@ -102,7 +117,7 @@ class Featurizer:
             return got
         s = raw.strip()
         length = len(s)
-        low = stem(raw if length < 160 else s[:100] + " … " + s[-40:])  # a long line is known by its ends
+        low = stem(raw)
         head = TOKEN.findall(low[:60])
         tail = TOKEN.findall(low[-30:])
         first = s.lstrip(" *•·-")[:1]
@@ -111,9 +126,8 @@ class Featurizer:
         names = [f"w{w}" for w in head[:5]] + [f"t{w}" for w in tail[-3:]] + [f"b{a}_{b}" for a, b in zip(head[:3], head[1:4], strict=False)]
         names += [f"s{size}", f"f{shape}", f"e{low[-1:] if not low[-1:].isalnum() else 'x'}", f"fs{shape}{size}", f"c{min(low.count(' '), 8)}"]
         names += [f"m{x}" for x in ("|", "›", ">", "←", "→", "©", "{", "(", "=", "$", ";", "_") if x in low]
-        names += [f"d{min(sum(c.isdigit() for c in low), 5)}"]
-        if CUES.search(low):
-            names.append("cue")
+        words = low.count(" ") + 1
+        names += [f"d{min(len(DIGIT.findall(low)), 5)}", f"v{min(length // words, 12)}", f"q{min(len(CAPITAL.findall(s)) * 8 // words, 8)}", f"j{min(len(STOP.findall(low)), 6)}"]
         if STATEMENT.search(low):
             names.append("code")
         got = (self.code(*names), " ".join(head[:2]), is_prose(s))
@@ -144,7 +158,7 @@ class Featurizer:
             shape = "p" if prose else "s"
             if prose:
                 listed = False
-            elif len(lines[i]) < 40 and HEADS.match(stem(lines[i])):
+            elif len(lines[i]) < LONG and stem(lines[i]) in self.heads:
                 listed = True
             lower = lines[i].lstrip(" *•-·0123456789.)")[:1].islower()
             names = (
@@ -188,20 +202,26 @@ class TreeModel:
     section: np.ndarray
     line: np.ndarray
     prior: np.ndarray
+    heads: frozenset[str] = frozenset()
 
     @classmethod
-    def train(cls, pages: list[tuple[list[str], str, str, list[int]]]) -> TreeModel:
-        """From labelled pages (lines, title, site, labels); a section's state is that of most of its lines, a page's that of any line."""
-        feats, labels, f = [], [], Featurizer()
+    def train(cls, pages: list[tuple[list[str], str, str, list[int]]], heads: frozenset[str] = frozenset()) -> TreeModel:
+        """From labelled pages (lines, title, site, labels); a section's state is that of most of its lines, a page's that of any line.
+
+        Lines without a label teach nothing, but stand beside those that have one.
+        """
+        feats, labels, f = [], [], Featurizer(heads)
         root, section, line = np.ones(2), np.ones((2, 2)), np.ones((2, 2))
         for lines, title, site, y in pages:
             x, s = f.page(lines, title, site)
-            feats += x
-            labels += y
-            r = int(any(y))
+            feats += [a for a, b in zip(x, y, strict=True) if b >= 0]
+            labels += [b for b in y if b >= 0]
+            r = int(1 in y)
             root[r] += 1
             for k in range(s[-1] + 1 if s else 0):
-                own = [b for a, b in zip(s, y, strict=True) if a == k]
+                own = [b for a, b in zip(s, y, strict=True) if a == k and b >= 0]
+                if not own:
+                    continue
                 z = int(2 * sum(own) > len(own))
                 section[r, z] += 1
                 for b in own:
@@ -209,7 +229,7 @@ class TreeModel:
         y = np.array(labels, dtype=float)
         prior = np.array([(1 - y).sum() + 1, y.sum() + 1])
         weights = fit_logistic(feats, y) if feats else np.zeros(FEATURES + 1)
-        return cls(weights, *(np.log(m / m.sum(axis=-1, keepdims=True)) for m in (root, section, line, prior)))
+        return cls(weights, *(np.log(m / m.sum(axis=-1, keepdims=True)) for m in (root, section, line, prior)), heads)
 
     def marginals(self, pages: list[tuple[list[str], str, str]], featurizer: Featurizer) -> list[np.ndarray]:
         """Probability of being main body of each line of each page, by one upward and one downward pass over all trees at once."""
@@ -255,21 +275,51 @@ def split_page(text: str | None) -> tuple[list[int], list[str]]:
     return [i + 1 for i in kept], [lines[i] for i in kept]
 
 
+def _keyed(pages: DataFrame) -> DataFrame:
+    """(site, key): each of the `line_keys` of a page once."""
+    parts = F.split("site", r"\.")
+    label = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.element_at(parts, -1))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    bare = lambda x: F.regexp_replace(x, r"[^\p{L}]+", "")
+    lines = F.split(F.when(label != "", F.replace(low, label, F.lit(""))).otherwise(low), "\n", -1)
+    heads = F.transform(lines, lambda x: F.regexp_extract(x, f"^([^:]{{0,{LONG - 1}}}):", 1))
+    keys = F.concat(F.transform(lines, bare), F.transform(F.filter(heads, lambda x: x != ""), lambda x: F.concat(bare(x), F.lit(":"))))
+    return pages.select("site", F.explode(F.array_distinct(F.filter(keys, lambda x: ~x.isin("", ":")))).alias("key"))
+
+
+def recurring_keys(pages: DataFrame, sample: DataFrame) -> tuple[dict[str, set[str]], set[str]]:
+    """(keys that recur on each site, keys that recur on several sites), of those that stand in the sample, counted over all pages.
+
+    Pages of (site, text). Hashes of keys are counted in the cluster by site; only keys of the sample, which is bounded, reach the driver.
+    """
+    own = _keyed(sample).distinct().withColumn("h", F.xxhash64("key"))
+    wanted = stored(own.select("h").distinct(), "keys")
+    counts = stored(_keyed(pages).select("site", F.xxhash64("key").alias("h")).join(wanted, "h", "left_semi").groupBy("site", "h").agg(F.count("*").alias("n")), "counts")
+    sizes = stored(pages.groupBy("site").agg(F.count("*").alias("pages")), "sizes")
+    least = max(SITES, SITES_SHARE * sizes.count())
+    far = counts.groupBy("h").agg(F.count("*").alias("sites")).filter(F.col("sites") >= least).select("h")
+    near = counts.join(sizes, "site").filter(F.col("n") >= F.greatest(F.lit(float(SITE_PAGES)), SITE_SHARE * F.col("pages") - 1e-9)).select("site", "h")
+    on_site: dict[str, set[str]] = {}
+    for r in own.join(near, ["site", "h"]).select("site", "key").toLocalIterator():
+        on_site.setdefault(r.site, set()).add(r.key)
+    return on_site, {r.key for r in own.join(far, "h", "left_semi").select("key").distinct().toLocalIterator()}
+
+
 def fit_tree(pages: DataFrame) -> TreeModel:
-    """Train on a sample of at most LABELLED pages (id, site, title, text), labelled by `seed_labels`."""
+    """Train on a sample of at most LABELLED pages (id, site, title, text), labelled by `seed_labels`; what recurs is counted over all pages."""
+    pages = pages.withColumn("site", F.coalesce("site", F.lit("")))
     total = pages.count()
     rate = min(1.0, 0.95 * LABELLED / max(total, 1))
-    rows = pages.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000)).select("site", "title", "text").limit(LABELLED).collect()
-    by_site: dict[str, dict[str, int]] = {}
-    sizes: dict[str, int] = {}
-    split = [(split_page(r.text)[1], r.title or "", r.site or "") for r in rows]
-    for lines, _, site in split:
-        sizes[site] = sizes.get(site, 0) + 1
-        for k in {letters(x) for x in lines}:
-            own = by_site.setdefault(site, {})
-            own[k] = own.get(k, 0) + 1
-    repeated = {s: {k for k, n in own.items() if k and n >= max(3, 0.15 * sizes[s])} for s, own in by_site.items()}
-    return TreeModel.train([(lines, title, site_label(site), seed_labels(lines, title, site_label(site), repeated.get(site, set()))) for lines, title, site in split if lines])
+    sample = stored(pages.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000)).select("id", "site", "title", "text").limit(LABELLED), "sample")
+    on_site, on_sites = recurring_keys(pages, sample)
+    labelled, heads = [], Counter()
+    for r in sample.orderBy("id").toLocalIterator():
+        lines, label = split_page(r.text)[1], site_label(r.site)
+        if lines:
+            y, found = seed_labels(lines, r.title or "", label, on_site.get(r.site, set()), on_sites)
+            heads.update(found)
+            labelled.append((lines, r.title or "", label, y))
+    return TreeModel.train(labelled, frozenset(k for k, n in heads.items() if n >= SITES))
 
 
 def furniture_lines(pages: DataFrame) -> DataFrame:
@@ -281,7 +331,7 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
     sent = pages.sparkSession.sparkContext.broadcast(fit_tree(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        featurizer = Featurizer()
+        featurizer = Featurizer(sent.value.heads)
         for whole in batches:
             for b in pieces(whole, 3):
                 ids = b.column(0).to_pylist()
