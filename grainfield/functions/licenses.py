@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +52,17 @@ def license_of_text(text: Column) -> Column:
         .when(t.contains("unlicense") | (t.contains("public domain") & ~t.contains("not public domain")), "Unlicense")
         .otherwise("")
     )
+
+
+def spdx_accepted(spdx: Column, ids: Sequence[str] = rules.SPDX_ACCEPTED) -> Column:
+    """Whether an SPDX id is an accepted one, spelled as it is; false for null."""
+    return F.coalesce(spdx.isin(*ids), F.lit(False))
+
+
+def archive_license(name: Column) -> Column:
+    """struct<type, url> of an archive's licence id, else null."""
+    out = None
+    for key, kind, url in rules.ARCHIVE_LICENSES:
+        value = F.struct(F.lit(kind).alias("type"), F.lit(url).alias("url"))
+        out = F.when(name == key, value) if out is None else out.when(name == key, value)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainfield.operators.ranking import running_total
 
 def first_reviews(reviews: DataFrame) -> DataFrame:
     """Of each page and contributor the first review, by time and id; scores outside 0..1 and null scores are left out. Combined before the shuffle."""
@@ -43,13 +44,12 @@ def failing_domains(rejects: DataFrame, domain: str, reason: str, least: int = 5
 def rank_sum_quality(pages: DataFrame, scores: list[str]) -> DataFrame:
     """(id, rank_sum, quality): ranks by each score (high first, ties share the average) added, then scaled so that the least sum is 1.
 
-    Ranks come from counts per distinct value, so only a table of values is sorted as a whole.
+    Ranks come from counts per distinct value and their running total, for which no task holds more than a part of the values.
     """
     out = pages.select("id", *scores)
     for s in scores:
         counts = pages.groupBy(s).agg(F.count("*").alias("_n"))
-        before = F.sum("_n").over(Window.orderBy(F.col(s).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
-        ranks = counts.select(F.col(s).alias("_v"), (F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2).alias(f"_r_{s}"))
+        ranks = running_total(counts, [F.col(s).desc_nulls_last()], "_n", "_before").select(F.col(s).alias("_v"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"_r_{s}"))
         out = out.join(ranks, F.col(s).eqNullSafe(F.col("_v"))).drop("_v")
     total = sum(F.col(f"_r_{s}") for s in scores)
     out = out.select("id", total.alias("rank_sum"))

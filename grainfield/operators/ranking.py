@@ -35,6 +35,16 @@ def grouped_rank(df: DataFrame, group: list[str], order: list[Column], name: str
     return joined.withColumn(name, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("long")).select(*df.columns, name)
 
 
+def running_total(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Each row with the sum of `value` over the rows before it; rows are range-partitioned, and only the sums of partitions are added up in one task."""
+    placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", 33)
+    cells = placed.groupBy(part.alias("_cell")).agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum(value).over(Window.partitionBy(part).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("_inner", inner).join(cells.select("_cell", before.alias("_before")), part == F.col("_cell")).select(*df.columns, (F.col("_inner") + F.col("_before")).alias(name))
+
+
 def latest_by(df: DataFrame, key: str, stamp: str) -> DataFrame:
     """One row per key, that of the greatest stamp (null stamps are oldest); of equal stamps one row is kept.
 

@@ -13,14 +13,6 @@ def with_schema(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return df.withColumns({c: v for c, v in defaults.items() if c not in df.columns})
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order; hash aggregation, so a hot key is combined before the shuffle."""
-    if not all(o is not None for o in order):
-        raise ValueError("an order is needed")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
 def least_row_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row of each key that is least by `order` (ascending, nulls first); partial aggregation combines hot keys map-side."""
     rest = [c for c in df.columns if c not in keys and c not in order]
@@ -40,11 +32,13 @@ def upsert(table: DataFrame, rows: DataFrame, key: str, keep: Sequence[str] = ()
     return both.select(*cols)
 
 
-def set_columns(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Columns of `changes` where they are not null, by key; other rows unchanged."""
+def set_columns(table: DataFrame, changes: DataFrame, key: str, nulls: bool = False) -> DataFrame:
+    """Columns of `changes` where they are not null, or with `nulls` as they are, by key; other rows unchanged."""
     cols = [c for c in changes.columns if c != key]
     new = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in cols])
-    return table.join(new, F.col(key) == F.col("_key"), "left").select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in cols else F.col(c) for c in table.columns])
+    return table.join(new, F.col(key) == F.col("_key"), "left").select(
+        *[(F.when(F.col("_key").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c)) if nulls else F.coalesce(f"_new_{c}", c)).alias(c) if c in cols else F.col(c) for c in table.columns]
+    )
 
 
 def delete_cascade(gone: DataFrame, pages: DataFrame, chunks: DataFrame, links: DataFrame, reviews: DataFrame) -> dict[str, DataFrame]:

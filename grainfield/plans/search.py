@@ -12,7 +12,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainfield.functions import urls, vectors
+from grainfield.functions import texts, urls, vectors
+from grainfield.session import stored
 
 #: Pool size in results, similarity added between results of one site, weight of relevance in a pick.
 POOL, SAME_SITE, RELEVANCE = 5, 0.3, 0.7
@@ -132,19 +133,50 @@ def diverse_pick(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return rows.iloc[chosen].assign(pick=range(1, k + 1))
 
 
+def _picked(few: DataFrame, vectors_: DataFrame, pages: DataFrame, k: int) -> DataFrame:
+    """(query_id, page_id, chunk_id, similarity, pick): the diverse choice among the pool, whose vectors are (chunk_id, embedding)."""
+    slim = pages.select(F.col("id").alias("page_id"), urls.display_domain(F.col("url")).alias("domain"))
+    placed = few.join(slim, "page_id").join(vectors_, "chunk_id").select("query_id", "page_id", "chunk_id", "similarity", "place", "domain", "embedding")
+    fields = "query_id long, page_id long, chunk_id long, similarity double, pick int"
+    return placed.groupBy("query_id").applyInPandas(lambda r: diverse_pick(r, k)[["query_id", "page_id", "chunk_id", "similarity", "pick"]], fields)
+
+
+def _shown(picked: DataFrame, text: DataFrame, pages: DataFrame) -> DataFrame:
+    """The results with all that is shown of them; `text` has (chunk_id, snippet)."""
+    n = pages.agg(F.count("*").cast("double").alias("n_pages"))
+    shown = picked.join(pages.select(F.col("id").alias("page_id"), "url", "title", "license_type", "pagerank", "quality", "compilable"), "page_id")
+    score = vectors.final_score(F.col("similarity"), F.col("pagerank"), F.col("n_pages"), F.col("quality"), F.col("compilable"))
+    return shown.crossJoin(F.broadcast(n)).join(text, "chunk_id").select("query_id", "pick", "page_id", "chunk_id", "similarity", score.alias("final_score"), "url", "title", "snippet", "license_type", "compilable")
+
+
 def search(chunks: DataFrame, pages: DataFrame, queries: DataFrame, dim: int, k: int = 20) -> DataFrame:
     """(query_id, pick, page_id, chunk_id, similarity, final_score, url, title, snippet, license_type, compilable) of the k results of each query.
 
     Only the pool, POOL * k rows a query, is joined with the pages and passes through Python; texts are fetched last.
     """
     few = pool(best_chunks(chunks, queries, dim, POOL * k), k)
-    n = pages.agg(F.count("*").cast("double").alias("n_pages"))
-    slim = pages.select(F.col("id").alias("page_id"), urls.display_domain(F.col("url")).alias("domain"))
-    own = chunks.select(F.col("id").alias("chunk_id"), "embedding")
-    placed = few.join(slim, "page_id").join(own, "chunk_id").select("query_id", "page_id", "chunk_id", "similarity", "place", "domain", "embedding")
-    fields = "query_id long, page_id long, chunk_id long, similarity double, pick int"
-    picked = placed.groupBy("query_id").applyInPandas(lambda r: diverse_pick(r, k)[["query_id", "page_id", "chunk_id", "similarity", "pick"]], fields)
-    shown = picked.join(pages.select(F.col("id").alias("page_id"), "url", "title", "license_type", "pagerank", "quality", "compilable"), "page_id")
-    text = chunks.select(F.col("id").alias("chunk_id"), F.col("text").alias("snippet"))
-    score = vectors.final_score(F.col("similarity"), F.col("pagerank"), F.col("n_pages"), F.col("quality"), F.col("compilable"))
-    return shown.crossJoin(F.broadcast(n)).join(text, "chunk_id").select("query_id", "pick", "page_id", "chunk_id", "similarity", score.alias("final_score"), "url", "title", "snippet", "license_type", "compilable")
+    picked = _picked(few, chunks.select(F.col("id").alias("chunk_id"), "embedding"), pages, k)
+    return _shown(picked, chunks.select(F.col("id").alias("chunk_id"), F.col("text").alias("snippet")), pages)
+
+
+def page_pool(page_vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
+    """(query_id, page_id, chunk_id, similarity, place): the POOL * k pages whose own vectors (page_id, centroid) are most similar; chunk_id is the page's id."""
+    own = page_vectors.select("page_id", F.lit(0).alias("idx"), F.col("page_id").alias("id"), F.col("centroid").alias("embedding")).filter(vectors.norm(F.col("embedding")) > 0)
+    return pool(best_chunks(own, queries, dim, POOL * k), k)
+
+
+def request(chunks: DataFrame, pages: DataFrame, queries: DataFrame, dim: int, k: int = 20, compilable_only: bool = False) -> DataFrame:
+    """The results of `search`, for queries without any those of the pages' own vectors, with `total`, the number of results of each query.
+
+    `compilable_only` takes out other results after the k were chosen, so fewer may be left. Page results have no chunk_id; their snippet is the page's.
+    """
+    first = stored(search(chunks, pages, queries, dim, k), "found")
+    bare = stored(queries.join(first.select("query_id").distinct(), "query_id", "left_anti"), "unanswered")
+    found = first
+    if not bare.isEmpty():
+        centres = stored(vectors.centroids(chunks.filter(usable(F.col("embedding"), dim)), "page_id", "embedding", dim), "centroids")
+        picked = _picked(page_pool(centres, bare, dim, k), centres.select(F.col("page_id").alias("chunk_id"), F.col("centroid").alias("embedding")), pages, k)
+        shown = _shown(picked, pages.select(F.col("id").alias("chunk_id"), texts.snippet(F.col("text_content")).alias("snippet")), pages)
+        found = first.unionByName(shown.withColumn("chunk_id", F.lit(None).cast("long")))
+    found = found.filter("compilable") if compilable_only else found
+    return found.withColumn("total", F.count("*").over(Window.partitionBy("query_id")))

@@ -55,3 +55,21 @@ FOOTER_NAMES = (
 # Elements whose text is not content, and elements that are paragraphs.
 SKIPPED_TAGS = frozenset("script style nav footer header noscript svg aside".split())
 BLOCK_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote dd dt figcaption".split())
+
+# SPDX identifiers of licences that are accepted.
+SPDX_ACCEPTED = ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense")
+
+# Licence ids of an archive's records, with the licence and its URL.
+ARCHIVE_LICENSES = (
+    ("cc-by-sa-4.0", "CC BY-SA", "https://creativecommons.org/licenses/by-sa/4.0/"),
+    ("cc-by-sa-3.0", "CC BY-SA", "https://creativecommons.org/licenses/by-sa/3.0/"),
+    ("cc0-1.0", "CC0", "https://creativecommons.org/publicdomain/zero/1.0/"),
+    ("cc-zero", "CC0", "https://creativecommons.org/publicdomain/zero/1.0/"),
+)
+
+# Domains by how far their material is known to be good.
+DOMAIN_TIERS = (
+    ("rfc-editor.org", "bartoszmilewski.com", "math.dartmouth.edu", "gutenberg.org"),
+    ("math.libretexts.org", "eng.libretexts.org", "phys.libretexts.org", "nordstrommath.com", "uscode.house.gov", "ecfr.gov"),
+    ("pressbooks.pub",),
+)

@@ -40,7 +40,6 @@ def test_queue_schema_and_winners(spark):
     assert got == {1: (2, False), 2: (2, True), 3: (1, True)}
     rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (None, 5, "n")], "k int, o int, x string")
     assert {(r.k, r.x) for r in tables.least_row_per_key(rows, ["k"], ["o"]).collect()} == {(1, "a"), (None, "n")}
-    assert {(r.k, r.x) for r in tables.first_per_key(rows, ["k"], [F.col("o").desc()]).collect()} == {(1, "b"), (None, "n")}
 
 
 def test_page_rank_against_power_iteration(spark):
