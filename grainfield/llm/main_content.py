@@ -31,8 +31,7 @@ CUES = re.compile(
     re.X,
 )
 STATEMENT = re.compile(r"[{}=;$]|\w\(|\):$|:\s*$|^\s*#include|^select .* from")
-MARKED = re.compile(r"^\s*(?:\*\s+|[•·]\s*)?(.*?)(?:\s*(?:»|\.\.\.|…))?\s*$", re.S)
-DIGIT, CAPITAL, STOP = re.compile(r"\d"), re.compile(r"(?<!\S)[A-Z]"), re.compile(r"[.!?](?:\s|$)")
+DIGITS, CAPITALS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TOKEN = re.compile(r"[a-z]+|\d+|[^\sa-z\d]")
 
 
@@ -46,7 +45,19 @@ def is_prose(line: str) -> bool:
 
 def stem(line: str) -> str:
     """A line without bullet, trailing mark and doubled spaces, lower case."""
-    return " ".join(MARKED.match(line)[1].lower().split())
+    s = line.strip()
+    if s[:1] in ("•", "·") or (s[:1] == "*" and s[1:2].isspace()):
+        s = s[1:].lstrip()
+    for mark in ("»", "...", "…"):
+        if s.endswith(mark):
+            s = s[: -len(mark)]
+            break
+    return " ".join(s.lower().split())
+
+
+def is_statement(low: str) -> bool:
+    """Whether a stem looks like code; most lines have none of its characters and are not searched."""
+    return (any(map(low.__contains__, "{}=;$(")) or low.endswith(":") or low.startswith(("#", "select "))) and STATEMENT.search(low) is not None
 
 
 def line_keys(line: str, label: str) -> tuple[str, str]:
@@ -70,7 +81,7 @@ def seed_labels(lines: list[str], title: str, label: str, on_site: set[str], on_
         return [0] * len(lines), []
     out, listed, heads = [0] * len(lines), False, []
     out[at] = 1
-    inside = [bool(x.lstrip(" *•-·0123456789.)")[:1].islower() or STATEMENT.search(stem(x))) for x in lines]
+    inside = [bool(x.lstrip(" *•-·0123456789.)")[:1].islower() or is_statement(stem(x))) for x in lines]
     prose = [is_prose(x.strip()) for x in lines]
     keys = [line_keys(x, label) for x in lines]
     cues = [CUES.search(stem(x)) is not None for x in lines]
@@ -127,8 +138,8 @@ class Featurizer:
         names += [f"s{size}", f"f{shape}", f"e{low[-1:] if not low[-1:].isalnum() else 'x'}", f"fs{shape}{size}", f"c{min(low.count(' '), 8)}"]
         names += [f"m{x}" for x in ("|", "›", ">", "←", "→", "©", "{", "(", "=", "$", ";", "_") if x in low]
         words = low.count(" ") + 1
-        names += [f"d{min(len(DIGIT.findall(low)), 5)}", f"v{min(length // words, 12)}", f"q{min(len(CAPITAL.findall(s)) * 8 // words, 8)}", f"j{min(len(STOP.findall(low)), 6)}"]
-        if STATEMENT.search(low):
+        names += [f"d{min(sum(map(low.count, DIGITS)), 5)}", f"v{min(length // words, 12)}", f"q{min(sum(map(s.count, CAPITALS)) * 8 // words, 8)}", f"j{min(low.count('. ') + low.count('? ') + low.count('! '), 6)}"]
+        if is_statement(low):
             names.append("code")
         got = (self.code(*names), " ".join(head[:2]), is_prose(s))
         if len(raw) < 120:
