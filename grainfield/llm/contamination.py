@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainfield.llm.batches import pieces
+from grainfield.session import stored
 
 TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,200}>")
 WORD = re.compile(r"[a-z0-9]+")
@@ -198,3 +199,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32())], ["doc_id", "item_id", "n_words"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, item_id long, n_words int")
+
+
+def without_contaminated(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents without those that `found` (doc_id, ...) names; rows of null key stay. The few found keys are joined, no text moves."""
+    return docs.join(stored(found.select(F.col("doc_id").alias("_leaking")).distinct(), "leaking"), F.col(key) == F.col("_leaking"), "left_anti")

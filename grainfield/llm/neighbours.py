@@ -158,6 +158,12 @@ def fit_index(vectors: DataFrame, dim: int, total: int) -> Centroids:
     return Centroids.fit(x, max(1, min(MOST_LISTS, total // PER_LIST)), total)
 
 
+def _spread(ids: np.ndarray) -> np.ndarray:
+    """A hash of each id, so that ids with a stride fill all blocks of a list."""
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(20)
+
+
 def _placed(vectors: DataFrame, index: Centroids, dim: int, most: int, ratio: float) -> DataFrame:
     """(list, q, m, role, id, v): each vector of (id, v, role) in its lists; role 1 asks, 2 is a member, 3 both.
 
@@ -179,7 +185,7 @@ def _placed(vectors: DataFrame, index: Centroids, dim: int, most: int, ratio: fl
                 k = n[long]
                 again = np.repeat(long, k)
                 other = np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
-                own = ids[rows[again]] % n[again]
+                own = (_spread(ids[rows[again]]) % n[again].astype(np.uint64)).astype(np.int64)
                 parts.append((rows[again], lists[again], own if bit == 1 else other, other if bit == 1 else own, np.full(len(again), bit)))
             at, list_, q, m, r = (np.concatenate(x) for x in zip(*parts, strict=True))
             picked = pa.array(at)
@@ -245,11 +251,11 @@ def _crowds(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
     return vectors.join(rest.select("id"), "id", "left_anti"), known
 
 
-def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 10, least: float = -2.0, queries: Column | None = None, lists: int = 3, ratio: float = 1.25, probes: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 10, least: float = -2.0, queries: Column | None = None, lists: int = 3, ratio: float = 1.25, probes: int | None = None, probe_ratio: float = 1.25) -> DataFrame:
     """(a, b, sim, rank): of every usable vector (or those where `queries` holds of `id`) the k most similar others, at least `least`.
 
     Vectors near a border stand in several lists, and a query looks into its own lists or, with `probes`, into up to
-    so many. Of equal similarity the smaller id is first. Vectors that are null, of another length, not finite or all
+    so many, none more than `probe_ratio` times as far as its nearest. Of equal similarity the smaller id is first. Vectors that are null, of another length, not finite or all
     zero take no part; an id counts once. More than k + 1 equal vectors are answered by their least ids without the index.
     """
     vectors = stored(distinct_vectors(rows, key, vector, dim), "vectors")
@@ -260,7 +266,7 @@ def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 10, least
         placed = _placed(indexed.withColumn("role", F.when(asked, F.lit(3)).otherwise(F.lit(2))), index, dim, lists, ratio)
     else:
         members = _placed(indexed.withColumn("role", F.lit(2)), index, dim, lists, ratio)
-        placed = members.unionByName(_placed(indexed.filter(asked).withColumn("role", F.lit(1)), index, dim, probes, 10.0))
+        placed = members.unionByName(_placed(indexed.filter(asked).withColumn("role", F.lit(1)), index, dim, probes, probe_ratio))
     found = _in_lists(placed, k, least, dim)
     if known is not None:
         known = known if queries is None else known.withColumnRenamed("a", "id").filter(queries).withColumnRenamed("id", "a")

@@ -73,7 +73,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_knn(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar chunks of every chunk whose id is divisible by 100, against all chunks."""
-    found = neighbours.nearest(load(spark, d, "chunks"), "id", "embedding", 64, 10, queries=F.col("id") % 100 == 0, lists=1, probes=64)
+    found = neighbours.nearest(load(spark, d, "chunks"), "id", "embedding", 64, 10, queries=F.col("id") % 100 == 0, lists=3, probes=64, probe_ratio=1.6)
     return found.select(F.col("a").alias("id"), F.col("b").alias("neighbour"), F.round("sim", 6).alias("similarity"), "rank")
 
 
@@ -107,6 +107,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.contaminated(load(spark, d, "documents"), load(spark, d, "benchmark")).select("doc_id", "item_id")
 
 
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without those that contain a benchmark item: what may be trained on."""
+    docs = load(spark, d, "documents")
+    return contamination.without_contaminated(docs, contamination.contaminated(docs, load(spark, d, "benchmark"))).select("doc_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """The reading band of each document of English prose."""
     return reading_level.reading_levels(load(spark, d, "documents"), load(spark, d, "reading_labels"))
@@ -118,7 +124,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy("source", "band").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_documents, p3_found, p3_text, p4_found, p4_ranking, p5_found, p5_knn, p6_found, p6_blocks, p7_found, p8_ids, p9_found, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_documents, p3_found, p3_text, p4_found, p4_ranking, p5_found, p5_knn, p6_found, p6_blocks, p7_found, p8_ids, p9_found, p9_clean, p10_found, p10_profile)}
 
 _LATEST = "(SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC) = 1)"
 _SITE = r"""regexp_replace(regexp_replace(lower(regexp_extract(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\\]*)', 1), '^(?:.*@)?(\[[^\]]*\]|[^:]*)', 1)), '\.$', ''), '^www\.', '')"""
