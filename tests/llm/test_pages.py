@@ -26,6 +26,20 @@ def test_capping_keeps_the_best_whatever_the_batches(spark):
     assert {r.id for r in state.kept.collect()} == {r[2] for r in rows} - want
 
 
+def test_capping_goes_on_from_its_folder(spark, tmp_path):
+    rows = [(f"s{i % 5}", float(i * 37 % 101), i) for i in range(200)]
+    whole = capping.CapState(spark, 9)
+    whole.absorb(spark.createDataFrame(rows, capping.STATE))
+    for part in (rows[:90], rows[90:], [r for r in rows if r[0] == "s2"][:3]):
+        state = capping.CapState(spark, 9, str(tmp_path / "state"))  # opened anew for each batch
+        state.absorb(spark.createDataFrame(part, capping.STATE))
+    assert state.version == 3 and {r.id for r in state.kept.collect()} == {r.id for r in whole.kept.collect()}
+    again = capping.CapState(spark, 9, str(tmp_path / "state"))
+    assert {r.id for r in again.displaced().collect()} == {r.id for r in whole.displaced().collect()}
+    with pytest.raises(ValueError):
+        capping.CapState(spark, 8, str(tmp_path / "state"))
+
+
 def test_capping_of_nothing_and_with_clashing_columns(spark):
     empty = spark.createDataFrame([], "site string, q double, id long, contributor string, _c int")
     assert capping.cap_by_share(empty, "site", "q", "id", 0.1).displaced().count() == 0
