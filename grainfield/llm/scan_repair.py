@@ -18,11 +18,13 @@ from grainfield.llm.batches import pieces
 from grainfield.session import stored
 
 #: Words of the vocabulary, at most, more are an error; a word must stand in so many texts to be one.
-VOCABULARY, LEAST_TEXTS = 100_000, 2
+VOCABULARY, LEAST_TEXTS = 400_000, 2
 #: Letters from which on a word is not counted.
 LONG = 40
-#: Counters of the table of neighbouring words.
-CELLS = 1 << 18
+#: Counters of the table of neighbouring words, and words that a task counts before it passes them on.
+CELLS, COUNTED = 1 << 18, 200_000
+#: Letters of a line of a printed page, at most; so many of a scan's lines may be longer, where line ends were lost.
+WIDE, WIDE_SHARE = 130, 0.1
 #: What a letter or pair of letters is often read as by recognition software.
 CONFUSIONS = {
     "o": ("0", "c"), "l": ("1", "i", "|"), "i": ("1", "l", "j"), "s": ("5",), "b": ("6", "h"), "g": ("9", "q"), "q": ("9", "g"), "z": ("2",), "e": ("c", "f"), "c": ("e",), "t": ("f", "l"), "f": ("t",), "h": ("b", "li"),
@@ -30,7 +32,6 @@ CONFUSIONS = {
 }
 LIGATURES = re.compile("[ﬀ-ﬆ]")
 HYPHEN = re.compile(r"(\S*[^\W_])[-‐‑­¬]\s*$")
-CORE = re.compile(r"^[^\w]*(.*?)[^\w]*$", re.S)
 #: Tokens that mix letters and digits by nature: formulas, units, versions, ranges, ordinals.
 BY_NATURE = re.compile(r"^(?:v?\d+(?:[.,:/-]\d+)*[a-z]{0,2}|[a-z]{1,2}\d{1,3}|\d+(?:st|nd|rd|th)|[a-z]\d[a-z]|v\d.*|\W*)$")
 DIGITS = "[0-9OoIlSBZ]{1,5}"
@@ -122,13 +123,21 @@ def furniture(pages: list[list[str]], title: str) -> set[tuple[int, int]]:
 
 
 def is_scan(text: str) -> bool:
-    """Whether a text is set in lines of a printed page: several lines, none much longer than a page is wide."""
+    """Whether a text is set in lines of a printed page: several lines, few of them longer than a page is wide."""
     lines = [x for x in text.replace("\f", "\n").split("\n") if x.strip()]
-    return len(lines) > 3 and max(map(len, lines)) <= 130 and sorted(map(len, lines))[len(lines) // 2] >= 25
+    return len(lines) > 3 and sum(len(x) > WIDE for x in lines) <= WIDE_SHARE * len(lines) and sorted(map(len, lines))[len(lines) // 2] >= 25
 
 
 def core(token: str) -> str:
-    return CORE.match(token)[1]
+    """A token without what is neither letter, digit nor underscore at its ends."""
+    if token.isalnum():
+        return token
+    begin, end = 0, len(token)
+    while begin < end and not (token[begin].isalnum() or token[begin] == "_"):
+        begin += 1
+    while begin < end and not (token[end - 1].isalnum() or token[end - 1] == "_"):
+        end -= 1
+    return token[begin:end]
 
 
 class Body:
@@ -234,7 +243,11 @@ class Corrector:
 
     def right(self, word: str, before: str = "", after: str = "", running: bool = False) -> str | None:
         """The right spelling of a lower-case word, or None where it stands as it is; a `running` word without counts stands in its own text alone."""
-        plain = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+        if word.isascii() and word.isalpha():  # most words
+            own, clean = self.counts.get(word, (1, 0) if running and len(word) < LONG else (0, 0))
+            if clean or len(word) < 4:
+                return None
+        plain = word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
         odd = plain != word or any(c.isdigit() for c in plain) or "|" in plain
         if BY_NATURE.match(plain) and plain == word:
             return None
@@ -303,7 +316,7 @@ def repair(text: str | None, title: str, corrector: Corrector) -> tuple[str | No
             words.append(token.replace(whole, word.capitalize() if whole[:1].isupper() else word))
             continue
         word = low[k]
-        if LIGATURES.search(word):
+        if not word.isascii() and LIGATURES.search(word):
             right = unicodedata.normalize("NFKC", word)
             right = corrector.right(right) or right
         else:
@@ -326,7 +339,7 @@ def _words_of(text: str, title: str) -> tuple[bool, list[str], set[str]]:
         return False, [core(w).lower() for w in text.split()], set()
     tokens = Body(text, title).tokens
     words = ["" if t is None or t[1] is not None else core(t[0]).lower() for t in tokens]
-    forms = {unicodedata.normalize("NFKC", w) for w in words if LIGATURES.search(w)}
+    forms = {unicodedata.normalize("NFKC", w) for w in words if not w.isascii() and LIGATURES.search(w)}
     for t in tokens:
         if t is not None and t[1] is not None:
             a, b = core(t[1]).lower(), core(t[2]).lower()
@@ -342,9 +355,17 @@ def fit_corrector(texts: DataFrame) -> Corrector:
     looks up besides its words; more than VOCABULARY in all are an error, none is dropped.
     """
 
+    names = ["word", "cell", "n", "clean", "form"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
         near = np.zeros(CELLS, dtype=np.int64)
+
+        def words_so_far() -> pa.RecordBatch:
+            columns = [list(counts), [0] * len(counts), *([v[k] for v in counts.values()] for k in range(3))]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
+
         for b in batches:
             for text, title in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not text or not text.strip():
@@ -361,12 +382,12 @@ def fit_corrector(texts: DataFrame) -> Corrector:
                 for a, b_ in zip(words, words[1:], strict=False):
                     if a and b_:
                         near[cell(a, b_)] += 1
+                if len(counts) > COUNTED:
+                    yield words_so_far()
+        yield words_so_far()
         filled = np.flatnonzero(near)
-        if counts:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*counts, *([None] * len(filled))]), pa.array([*([0] * len(counts)), *filled.tolist()], pa.int64()), pa.array([*(v[0] for v in counts.values()), *near[filled].tolist()], pa.int64()), pa.array([*(v[1] for v in counts.values()), *([0] * len(filled))], pa.int64()), pa.array([*(v[2] for v in counts.values()), *([0] * len(filled))], pa.int64())],
-                ["word", "cell", "n", "clean", "form"],
-            )
+        nothing = pa.array(np.zeros(len(filled), dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(filled), pa.string()), pa.array(filled), pa.array(near[filled]), nothing, nothing], names)
 
     counted = stored(texts.mapInArrow(run, "word string, cell long, n long, clean long, form long").groupBy("word", "cell").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"), F.max("form").alias("form")), "words")
     words = counted.filter(F.col("word").isNotNull() & ((F.col("clean") > 0) | (F.col("n") >= LEAST_TEXTS) | ((F.col("form") > 0) & (F.col("n") > 0))))

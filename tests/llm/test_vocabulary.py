@@ -17,3 +17,11 @@ def test_misreadings_take_no_place_of_words(spark, monkeypatch):
     monkeypatch.setattr(scan_repair, "VOCABULARY", len(words) - 1)
     with pytest.raises(ValueError, match="words"):
         scan_repair.fit_corrector(texts)
+
+
+def test_one_long_line_does_not_stop_a_repair():
+    lines = ["The harbour was built in the year of the great storm, and the", "ships that came to it brought tim-", "ber, salt and wool to the merchants of the old town by the sea."] * 5
+    assert scan_repair.is_scan("\n".join(lines))
+    assert scan_repair.is_scan("\n".join([*lines, "word " * 60]))
+    assert not scan_repair.is_scan("\n".join(["word " * 60] * 6))
+    assert not scan_repair.is_scan("a short note")
