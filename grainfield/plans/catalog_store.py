@@ -25,7 +25,9 @@ def literal(x) -> str:
         return str(x).upper()
     if isinstance(x, (list, tuple)):
         return "[" + ", ".join(literal(y) for y in x) + "]"
-    return str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+    if isinstance(x, float):
+        return f"{x!r}::DOUBLE"
+    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
 
 
 def expected(columns: str, rows: list[tuple]) -> str:
