@@ -251,7 +251,7 @@ def _crowds(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
     return vectors.join(rest.select("id"), "id", "left_anti"), known
 
 
-def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 10, least: float = -2.0, queries: Column | None = None, lists: int = 3, ratio: float = 1.25, probes: int | None = None, probe_ratio: float = 1.25) -> DataFrame:
+def nearest(rows: DataFrame, key: str, vector: str, dim: int, k: int = 10, least: float = -2.0, queries: Column | None = None, lists: int = 3, ratio: float = 1.25, probes: int | None = None, probe_ratio: float = 10.0) -> DataFrame:
     """(a, b, sim, rank): of every usable vector (or those where `queries` holds of `id`) the k most similar others, at least `least`.
 
     Vectors near a border stand in several lists, and a query looks into its own lists or, with `probes`, into up to
