@@ -62,37 +62,12 @@ def reviews_of(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "quality_reviews").distinct()
 
 
-def query_vector(chunks: DataFrame) -> DataFrame:
-    """The embedding of the first usable chunk as query 0: one row."""
-    good = chunks.filter(search.usable(F.col("embedding"), DIM) & (vectors.norm(F.col("embedding")) > 0))
-    return good.orderBy("id").limit(1).select(F.lit(0).cast("long").alias("query_id"), F.col("embedding").alias("vector"))
-
-
 def query_vectors(chunks: DataFrame) -> DataFrame:
     """The embedding of every usable chunk whose id is divisible by 100, as the query of that id."""
     good = chunks.filter((F.col("id") % 100 == 0) & search.usable(F.col("embedding"), DIM) & (vectors.norm(F.col("embedding")) > 0))
     return good.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-_SCORED = f"""q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM {CHUNKS} WHERE {USABLE} AND len([x for x in embedding if x <> 0]) > 0 ORDER BY id LIMIT 1),
-  s AS (SELECT page_id, id AS chunk_id, idx, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS sim FROM {CHUNKS}, q WHERE {USABLE} AND len([x for x in embedding if x <> 0]) > 0),
-  b AS (SELECT * FROM s WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY sim DESC, idx, chunk_id) = 1)"""
-
-
-@query(f"WITH {_SCORED} SELECT page_id, chunk_id, round(sim, 6) AS similarity FROM b")
-def search_best_chunk(spark: SparkSession, d: str) -> DataFrame:
-    """The best chunk of every page for one query vector."""
-    chunks = chunks_of(spark, d)
-    return search.best_chunks(chunks, query_vector(chunks), DIM).select("page_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
-
-
-@query(f"WITH {_SCORED} SELECT page_id, CAST(row_number() OVER (ORDER BY sim DESC, page_id) AS INTEGER) AS place FROM b QUALIFY place <= 100")
-def search_pool(spark: SparkSession, d: str) -> DataFrame:
-    """The hundred pages from which twenty results are chosen."""
-    chunks = chunks_of(spark, d)
-    return search.pool(search.best_chunks(chunks, query_vector(chunks), DIM, search.POOL * 20), 20).select("page_id", "place")
-
-
 _SCORED_ALL = f"""q AS (SELECT id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM {CHUNKS} WHERE id % 100 = 0 AND {USABLE} AND len([x for x in embedding if x <> 0]) > 0),
   s AS (SELECT query_id, page_id, id AS chunk_id, idx, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS sim FROM {CHUNKS}, q WHERE {USABLE} AND len([x for x in embedding if x <> 0]) > 0),
   b AS (SELECT * FROM s WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY query_id, page_id ORDER BY sim DESC, idx, chunk_id) = 1)"""
@@ -210,28 +185,15 @@ def paragraph_dedup(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.md5("p").alias("text_hash"), "id").groupBy("text_hash").agg(F.min("id").alias("first_page"), F.count("*").alias("n"))
 
 
-@query(r"SELECT doc_id, md5(array_to_string([w for w in regexp_split_to_array(coalesce(text, ''), '[\s\x{0B}\x{85}\x{A0}\x{2028}\x{3000}]+') if w <> ''][1:500], ' ')) AS head FROM documents WHERE text IS NULL OR regexp_full_match(text, '[\x00-\x7F]*')")
-def first_500_words(spark: SparkSession, d: str) -> DataFrame:
-    """Hash of the first 500 words of every ASCII document."""
-    docs = load(spark, d, "documents").filter(F.col("text").isNull() | F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return docs.select("doc_id", F.md5(texts.first_words(F.col("text"))).alias("head"))
-
-
-@query("SELECT doc_id, CASE WHEN strlen(text) > 200 THEN text[1:200] || '...' ELSE text END AS snippet FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def snippets(spark: SparkSession, d: str) -> DataFrame:
-    """What is shown of each ASCII document."""
-    return load(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", texts.snippet(F.col("text")).alias("snippet"))
-
-
-@query()
+@query(r"SELECT doc_id, md5(array_to_string([w for w in regexp_split_to_array(coalesce(text, ''), '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+') if w <> ''][1:500], ' ')) AS head FROM documents")
 def first_500_words_all(spark: SparkSession, d: str) -> DataFrame:
-    """Hash of the first 500 words of every document; tested against plain Python."""
+    """Hash of the first 500 words of every document; also tested against plain Python."""
     return load(spark, d, "documents").select("doc_id", F.md5(texts.first_words(F.col("text"))).alias("head"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN strlen(text) > 200 THEN left(text, list_max([i for i in range(50, 201) if strlen(left(text, i)) <= 200])) || '...' ELSE text END AS snippet FROM documents")
 def snippets_all(spark: SparkSession, d: str) -> DataFrame:
-    """What is shown of each document, null for null texts; tested against plain Python."""
+    """What is shown of each document, null for null texts; also tested against plain Python."""
     return load(spark, d, "documents").select("doc_id", texts.snippet(F.col("text")).alias("snippet"))
 
 
